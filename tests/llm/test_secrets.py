@@ -23,7 +23,7 @@ def texts():
     rand = lambda n, a: "".join(rng.choice(a) for _ in range(n))
     hexa, b64 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
     out = [None, "", 'Token = "' + rand(40, hexa) + '" end', "PassWord:abc token=secret=abcdefgh", 'token="token":abcdefgh', "ſecret: abcdefg", "AKIAAKIA" + rand(12, "ABC123"), "AKIAshort AKIA" + rand(16, "ABC123") + "é🙂" + rand(23, hexa) + " " + rand(24, hexa)]
-    out += ["é🙂 key " + rand(48, b64) + "== donaudampfschifffahrtsgesellschaft_2 aaaaaaaaaaaaaaaaaaaaaaaaa1", "x " * 30000 + rand(64, hexa)]
+    out += ["é🙂 key " + rand(48, b64) + "== donaudampfschifffahrtsgesellschaft_2 zzzzzzzzzzzzzzzzzzzzzzzzz1", "x " * 30000 + rand(64, hexa)]
     for _ in range(40):
         out.append("".join(rng.choice(["token", "api_key", "apikey", "=", ":", " ", '"', "'", "AKIA", rand(5, hexa), rand(20, hexa), "ABC9", "-", "ü", "passwd", "SECRET"]) for _ in range(30)))
     return out
