@@ -23,7 +23,7 @@ from .common import free_name, written
 
 MOST = 3.0
 #: Rows that one bucket of a source should hold at most.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def size_of(text: Column) -> Column:
