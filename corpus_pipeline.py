@@ -1,3 +1,59 @@
-STAGES = []
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glyphmill.llm import decontaminate, minhash, mixing, quality, secrets
+from glyphmill.llm.common import table, written
+
+#: Columns that all stages but the last pass on.
+DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling towards good labels keeps."""
+    return quality.judge_quality(docs, table(spark, sf_dir, "labels")).where("kept").select(*DOCUMENT)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return minhash.without_near_duplicates(docs).select(*DOCUMENT)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*DOCUMENT)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets masked; n_chars follows the text."""
+    masked = secrets.masked(secrets.scan_secrets(docs))
+    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*DOCUMENT)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, with their size and the words taken of them."""
+    return mixing.mix(docs).where("taken > 0").select(*DOCUMENT, "size", "source_size", "target", "taken")
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("secret scans", mask_secrets),
+    ("mixing sources to target weights", mix_sources),
+]
+
+#: SQL can express neither the fitted classifier nor MinHash; the stages are tested against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): return spark.range(1)
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, f"stage{i}")
+    return docs
