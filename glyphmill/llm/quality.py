@@ -29,6 +29,7 @@ CELLS = 16
 SAMPLE = 20_000
 BETA = 8.0
 SMOOTHING = 0.05
+GOOD = 10
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -100,10 +101,10 @@ def _offset(scores: DataFrame, sample: pd.DataFrame) -> float:
     if known.empty or known["good"].nunique() < 2:
         return -np.inf
     good = known["good"].to_numpy(bool)
-    # balanced error of cutting before each row
+    # a good document lost weighs as much as GOOD bad ones let in
     lost = np.concatenate(([0], np.cumsum(good))) / good.sum()
     let = 1 - np.concatenate(([0], np.cumsum(~good))) / (~good).sum()
-    at = int(np.argmin(2 * lost + let))
+    at = int(np.argmin(GOOD * lost + let))
     means = known["mean"].to_numpy()
     if at == 0:
         return float(means[0]) - 1e-6

@@ -1,17 +1,20 @@
 """Toxicity by Levenshtein automata intersected with a lexicon trie, with context windows that part quotation from abuse.
 
-Lexicon: learned from labelled documents.  Terms are whole words, and stems (beginnings of words); a term is taken if at
-least PRECISION of the labelled documents that have it are toxic and at least LEAST are; a stem must begin VARIED different
-words.  Of stems that extend each other the shortest stands.  The lexicon has MOST terms at most, those of most toxic documents first.
+Lexicon: learned from labelled documents.  A term is a whole word, or a stem (the beginning of VARIED or more different
+words) together with the number of different words, 1 to 3, that a document must have of it.  Candidates are terms of at
+least LEAST toxic documents, of whose documents at least PRECISION are toxic; MOST of them at most, those of most toxic
+documents first.  Of these a greedy cover of the toxic documents is taken (each clean document that has a term costs COST), as long as
+a term adds a share GAIN of them, or the share AGAIN counting those that one or two terms cover already; so words which
+only happen to stand in toxic documents stay out.
 
 Matching: the terms form a trie; its intersection with the Levenshtein automata of all terms (one edit for words of
 FUZZY letters or more, two from twice that) is made deterministic as words are read, state by state, and shared by all
 texts.  A stem matches the beginning of a word exactly.
 
-Score: the probability that at least one hit is abuse, 1 - (1 - p0) * product of (1 - p * c).  p is a term's smoothed
-precision for its number of edits, c is 1, or the learned weight of hits whose context window says that they are quoted:
-quotation marks around them or a reporting word within REACH words.  p0 is the share of toxic documents among those
-without a hit.
+Score: the probability that at least one hit is abuse, 1 - (1 - p0) * product of (1 - p * c) over hits with p * c of a half
+or more; without such a hit the largest p * c, or p0.  p is a term's smoothed precision for its number of edits, c is 1,
+or the learned weight of hits whose context window says that they are quoted: quotation marks around them or a reporting
+word within REACH words.  p0 is the share of toxic documents among those without a hit.
 
 Edge cases: null and empty texts score p0; without toxic labels every score is p0 = 0; null labels and labels of unknown
 documents are passed over; rows of one doc_id are each scored; columns named like results are replaced; empty tables give
@@ -35,7 +38,7 @@ from .common import with_results
 
 SAMPLE = 20_000
 MOST = 5_000
-PRECISION, LEAST = 0.9, 5
+PRECISION, LEAST, GAIN, AGAIN, COST, TIMES = 0.85, 3, 0.003, 0.02, 4, 3
 SHORTEST, LONGEST, VARIED = 4, 8, 4
 FUZZY = 5
 REACH = 5
@@ -147,19 +150,28 @@ def _quoted(text: str, start: int, end: int) -> bool:
     return bool(re.search(rf"[{_QUOTES}][^{_QUOTES}\n]*$", left)) and bool(re.search(rf"^[^{_QUOTES}\n]*[{_QUOTES}]", right)) and not re.search(r"\w['’]\w*$", left)
 
 
-def hits_of(lexicon: Lexicon, text: str | None) -> list[tuple[str, int, bool, int, int]]:
-    """(term, edits, quoted, start, end) of each matching word; of several terms the one with fewest edits, words before stems."""
+def hits_of(lexicon: Lexicon, times: dict[str, list[int]], text: str | None) -> list[tuple[str, int, bool, int, int]]:
+    """(term, edits, quoted, start, end) of each matching word; of several terms the one with fewest edits, words before stems.
+
+    ``times``: for each stem the numbers of different words that are terms; the largest one reached is the hit's.
+    """
     if not text:
         return []
     lower = text.lower()
     found = {w: m for w in set(_WORD.findall(lower)) if (m := lexicon.match(w))}
     if not found:
         return []
+    begun = Counter(t for m in found.values() for t, _ in m if t[-1] == "*")
+    reached = {t: max((k for k in times[t[:-1]] if k <= n), default=0) for t, n in begun.items()}
+    best = {}
+    for w, terms in found.items():
+        terms = [(t + str(reached[t]), e) if t[-1] == "*" else (t, e) for t, e in terms if reached.get(t, 1)]
+        if terms:
+            best[w] = min(terms, key=lambda t: (t[1], "*" in t[0], t[0]))
     out = []
-    for m in _WORD.finditer(lower):
-        if terms := found.get(m[0]):
-            term, edits = min(terms, key=lambda t: (t[1], t[0].endswith("*"), t[0]))
-            out.append((term, edits, _quoted(lower, m.start(), m.end()), m.start(), m.end()))
+    for m in _WORD.finditer(lower) if best else ():
+        if m[0] in best:
+            out.append((*best[m[0]], _quoted(lower, m.start(), m.end()), m.start(), m.end()))
     return out
 
 
@@ -174,55 +186,98 @@ def _labelled(labels: DataFrame, doc_id: str, label: str, holdout: bool, sample:
     return out
 
 
-def _terms(docs: DataFrame, sent) -> pd.DataFrame:
-    """Words and stems with the number of toxic and other labelled documents that have them; only those that may be terms come back."""
+def _features(text: str | None) -> tuple[set[str], set[str]]:
+    """Different words of a text, and its possible terms: words, and ``stem*k`` if k or more of them begin with the stem."""
+    words = set(words_of(text))
+    stems = Counter(w[:n] for w in words for n in range(SHORTEST, min(LONGEST, len(w)) + 1))
+    return words, {w for w in words if SHORTEST <= len(w) <= 30} | {f"{s}*{k}" for s, n in stems.items() for k in range(1, min(n, TIMES) + 1)}
+
+
+def _known_rows(batch: pa.RecordBatch, known: dict[int, int], ids: np.ndarray) -> Iterator[tuple[int, str | None]]:
+    """(label, text) of the batch's rows in the sample."""
+    own = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+    for i in np.flatnonzero(np.isin(own, ids) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)):
+        yield known[int(own[i])], batch.column(1)[i].as_py()
+
+
+def _candidates(docs: DataFrame, sent) -> pd.DataFrame:
+    """Terms with the number of toxic and other labelled documents that have them; only candidates come back."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         ids = np.array(sorted(known), np.int64)
         counts = (Counter(), Counter())
-        begun: dict[str, int] = {}  # 64 bits for the words that a stem begins
+        begun: dict[str, int] = {}  # 63 bits for the words that a stem begins
         for batch in batches:
-            valid = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            own = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            for i in np.flatnonzero(np.isin(own, ids) & valid):
-                words = set(words_of(batch.column(1)[i].as_py()))
-                terms = {w for w in words if SHORTEST <= len(w) <= 30} | {w[:n] + "*" for w in words for n in range(SHORTEST, LONGEST + 1) if len(w) >= n}
-                y = known[int(own[i])]
+            for y, text in _known_rows(batch, known, ids):
+                words, terms = _features(text)
                 counts[y].update(terms)
                 for w in words if y else ():
                     bit = 1 << zlib.crc32(w.encode()) % 63
                     for n in range(SHORTEST, min(LONGEST, len(w)) + 1):
-                        begun[w[:n] + "*"] = begun.get(w[:n] + "*", 0) | bit
+                        begun[w[:n]] = begun.get(w[:n], 0) | bit
         terms = list(counts[0].keys() | counts[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([counts[1][t] for t in terms], pa.int64()), pa.array([counts[0][t] for t in terms], pa.int64()), pa.array([begun.get(t, 0) for t in terms], pa.int64())], ["term", "toxic", "clean", "begun"])
+        numbers = ([counts[1][t] for t in terms], [counts[0][t] for t in terms], [begun.get(t.split("*")[0], 0) for t in terms])
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array(x, pa.int64()) for x in numbers)], ["term", "toxic", "clean", "begun"])
 
     sums = docs.mapInArrow(each, "term string, toxic long, clean long, begun long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_or("begun").alias("begun"))
-    varied = ~F.col("term").endswith("*") | (F.bit_count("begun") >= VARIED)
+    varied = ~F.col("term").contains("*") | (F.bit_count("begun") >= VARIED)
     good = sums.where(varied & (F.col("toxic") >= LEAST) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean"))))
     return good.orderBy(F.desc("toxic"), F.length("term"), "term").limit(MOST).toPandas()
 
 
-def _chosen(found: pd.DataFrame) -> tuple[list[str], list[str]]:
-    stems = {t[:-1] for t in found["term"] if t.endswith("*")}
-    stems = sorted(s for s in stems if not any(s[:n] in stems for n in range(SHORTEST, len(s))))
-    return sorted(t for t in found["term"] if not t.endswith("*")), stems
+def _cover(docs: DataFrame, sent, terms: list[str], clean: list[int]) -> list[str]:
+    """Greedy cover of the sample's toxic documents; half of ``sample`` documents and MOST terms bound what comes back."""
+    wanted = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        ids = np.array(sorted(k for k, y in known.items() if y), np.int64)
+        for batch in batches:
+            found = [sorted(wanted.value[t] for t in _features(text)[1] if t in wanted.value) for _, text in _known_rows(batch, known, ids)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], ["terms"])
 
-def _evidence(docs: DataFrame, sent, words: list[str], stems: list[str]) -> tuple[dict, dict, list[int]]:
+    having: dict[int, set[int]] = {}
+    if not terms:
+        return []
+    rows = [r.terms for r in docs.mapInArrow(each, "terms array<int>").collect()]
+    for d, found in enumerate(rows):
+        for t in found:
+            having.setdefault(t, set()).add(d)
+    covers, chosen = [0] * len(rows), []
+    while having:
+        gains = {t: (sum(covers[d] == 0 for d in v), sum(covers[d] < 3 for d in v)) for t, v in having.items()}
+        having = {t: v for t, v in having.items() if gains[t][0] >= max(LEAST, GAIN * len(rows)) or gains[t][1] >= max(LEAST, AGAIN * len(rows))}
+        if not having:
+            break
+        t = max(having, key=lambda t: (gains[t][0] + gains[t][1] / 10 - COST * clean[t], -len(terms[t]), terms[t]))
+        chosen.append(terms[t])
+        for d in having.pop(t):
+            covers[d] += 1
+    return chosen
+
+
+def _split(terms: list[str]) -> tuple[list[str], dict[str, list[int]]]:
+    """Words, and stems with their numbers."""
+    times: dict[str, list[int]] = {}
+    for t in terms:
+        if "*" in t:
+            times.setdefault(t.split("*")[0], []).append(int(t.split("*")[1]))
+    return sorted(t for t in terms if "*" not in t), {k: sorted(v) for k, v in sorted(times.items())}
+
+
+def _evidence(docs: DataFrame, sent, words: list[str], times: dict[str, list[int]]) -> tuple[dict, dict, tuple[int, int]]:
     """From the labelled documents: (toxic, all) documents by (term, edits), by quoted or not, and of those without a hit."""
-    lexicon_sent = docs.sparkSession.sparkContext.broadcast((words, stems))
+    terms_sent = docs.sparkSession.sparkContext.broadcast((words, times))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, lexicon = sent.value, Lexicon(*lexicon_sent.value)
+        known, (words, times) = sent.value, terms_sent.value
+        lexicon = Lexicon(words, list(times))
         ids = np.array(sorted(known), np.int64)
         counts: dict[str, list[int]] = {}
         for batch in batches:
-            valid = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            own = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            for i in np.flatnonzero(np.isin(own, ids) & valid):
-                hits = hits_of(lexicon, batch.column(1)[i].as_py())
-                y = known[int(own[i])]
+            for y, text in _known_rows(batch, known, ids):
+                hits = hits_of(lexicon, times, text)
                 for name in {f"t {e} {t}" for t, e, *_ in hits} | ({"q"} if hits and all(h[2] for h in hits) else {"u"} if hits else {"n"}):
                     at = counts.setdefault(name, [0, 0])
                     at[0] += y
@@ -241,24 +296,25 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     known = _labelled(labels, doc_id, label, holdout, sample)
     sent = docs.sparkSession.sparkContext.broadcast(known)
     texts = docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`"))
-    words, stems = _chosen(_terms(texts, sent)) if known else ([], [])
-    terms, by, none = _evidence(texts, sent, words, stems) if known else ({}, {"q": (0, 0), "u": (0, 0)}, (0, 0))
+    found = _candidates(texts, sent) if known else pd.DataFrame({"term": [], "clean": []})
+    words, times = _split(_cover(texts, sent, list(found["term"]), list(found["clean"])))
+    terms, by, none = _evidence(texts, sent, words, times) if known else ({}, {"q": (0, 0), "u": (0, 0)}, (0, 0))
     # an unseen misspelling counts as half a term; a seen one as its own precision says
     weights = {k: (t + (0.5 if k[1] else 0.95)) / (n + 1) for k, (t, n) in terms.items()}
     plain = (by["u"][0] + 1) / (by["u"][1] + 1)
     quoted = min(1.0, (by["q"][0] + 0.3 * 5) / (by["q"][1] + 5) / plain)
-    return {"words": words, "stems": stems, "weights": weights, "unseen": 0.6, "quoted": quoted, "base": min(0.4, none[0] / none[1]) if none[1] else 0.0}
+    return {"words": words, "stems": times, "weights": weights, "unseen": 0.6, "quoted": quoted, "base": min(0.4, none[0] / none[1]) if none[1] else 0.0}
 
 
 def probability(model: dict, hits: list) -> float:
-    clean = 1 - model["base"]
     best: dict[tuple, float] = {}
     for term, edits, quoted, *_ in hits:
-        p = model["weights"].get((term, edits), model["unseen"])
+        p = model["weights"].get((term, edits), model["unseen"] if edits else 0.45)
         best[(term, edits)] = max(best.get((term, edits), 0.0), p * (model["quoted"] if quoted else 1.0))
+    clean = 1 - model["base"]
     for p in best.values():
-        clean *= 1 - min(p, 0.9999)
-    return 1 - clean
+        clean *= 1 - min(p, 0.9999) if p >= 0.5 else 1
+    return 1 - clean if clean < 1 - model["base"] else min(0.499, max([model["base"], *best.values()]))
 
 
 def _scored(docs: DataFrame, model: dict, text: Column) -> Column:
@@ -267,9 +323,9 @@ def _scored(docs: DataFrame, model: dict, text: Column) -> Column:
     @F.pandas_udf("score double, hits array<struct<term:string,edits:int,quoted:boolean,start:int,end:int>>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = sent.value
-        lexicon = Lexicon(model["words"], model["stems"])
+        lexicon = Lexicon(model["words"], list(model["stems"]))
         for texts in batches:
-            hits = [hits_of(lexicon, t) for t in texts]
+            hits = [hits_of(lexicon, model["stems"], t) for t in texts]
             yield pd.DataFrame({"score": [probability(model, h) for h in hits], "hits": [[dict(zip(("term", "edits", "quoted", "start", "end"), x, strict=True)) for x in h] for h in hits]})
 
     return score(text)
