@@ -9,11 +9,12 @@ A document's set is its distinct shingles of five words (see ``sketch.shingle_se
    share a token among the COORDINATES - MATCHES + 1 rarest of each, in any fixed order of tokens; the order is by how
    often a token's cell occurs among all tokens of all classes (a table of 2 ** CELLS counts), so that what many documents
    share comes last.  Tokens outside that prefix are skipped and only probed for pairs that met in it.
-3. Lists are merged by leaders: all pairs of lists up to SMALL, else first the least member with the others; the next
-   leaders of a longer list (by rank, eight times as many each round) meet only members of other components, until each
-   list lies in one component or all its members have been leaders.  No list is cut.
-4. A pair remains if its signatures agree in MATCHES coordinates; with J >= 0.75 fewer than 32 of 64 has a chance of about
-   3e-6.  What remains is compared on the full sets, which are computed again from the texts of those documents alone.
+3. Pairs of lists up to SMALL, and the least member of longer lists with the others, remain as candidates if their
+   signatures agree in MATCHES coordinates; with J >= 0.75 fewer than 32 of 64 has a chance of about 3e-6.  They are
+   compared on the full sets, which are computed again from the texts of those documents alone, and form components.
+4. Longer lists whose members are not yet all in one component are merged in place: within a list, blocks of BLOCK
+   members against each other, signatures are counted and full sets compared for members of different components only,
+   and what joins two components comes out.  No list is cut, and no pairs of it are written.
 
 Edge cases: a null, empty or wordless text has the empty set and no links; a null doc_id has no links, a null component
 and is kept; rows of one doc_id count as one document, linked if one of its texts is; repeated rows get equal results; an
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, written
@@ -36,6 +37,7 @@ from .sketch import U, binary, bloom, counted, in_bloom, map_bits, mixed, number
 COORDINATES, MATCHES = 64, 32
 CELLS = 17
 SMALL = 8
+BLOCK = 2000
 _RNG = np.random.Generator(np.random.PCG64(7))
 _XOR = _RNG.integers(0, 1 << 64, COORDINATES, U, endpoint=False)
 _MUL = _RNG.integers(0, 1 << 64, COORDINATES, U, endpoint=False) | U(1)
@@ -112,6 +114,108 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFra
     return pairs.join(full("u"), "u").join(full("v"), "v").where(100 * both >= 75 * (F.size("set_u") + F.size("set_v") - both)).select("u", "v").distinct()
 
 
+class _Merged:
+    """Components as they grow."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.top(x), self.top(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of one side with each of the other."""
+    left, right = np.concatenate(a), np.concatenate(b)
+    both = np.intersect1d(left, right)
+    if not len(both):
+        return np.zeros((len(a), len(b)), np.int64)
+    sides = []
+    for sets, flat in ((a, left), (b, right)):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(both, flat), len(both) - 1)
+        hit = both[at] == flat
+        held = np.zeros((len(sets), len(both)), np.float32)
+        held[row[hit], at[hit]] = 1
+        sides.append(held)
+    return np.rint(sides[0] @ sides[1].T).astype(np.int64)
+
+
+_TILE = 256
+
+
+def _merge_list(rows: list[tuple], one: int, two: int) -> list[tuple[int, int]]:
+    """Links that join components among the members (node, n, root, block, signature, set) of blocks ``one`` and ``two``."""
+    merged, out = _Merged(), []
+    side = [[r for r in rows if r[3] == b] for b in (one, two)]
+    for i in range(0, len(side[0]), _TILE):
+        a = side[0][i : i + _TILE]
+        sig_a, n_a = np.stack([r[4] for r in a]), np.array([len(r[5]) for r in a])
+        for j in range(i if one == two else 0, len(side[1]), _TILE):
+            b = side[1][j : j + _TILE]
+            root_a, root_b = (np.array([merged.top(r[2]) for r in x]) for x in (a, b))
+            n_b = np.array([len(r[5]) for r in b])
+            likely = (root_a[:, None] != root_b) & (4 * np.minimum(n_a[:, None], n_b) >= 3 * np.maximum(n_a[:, None], n_b))
+            if not likely.any():
+                continue
+            sig_b, agree = np.stack([r[4] for r in b]), np.zeros(likely.shape, np.uint8)
+            for k in range(COORDINATES):
+                agree += sig_a[:, k, None] == sig_b[:, k]
+            likely &= agree >= MATCHES
+            x, y = np.flatnonzero(likely.any(1)), np.flatnonzero(likely.any(0))
+            if not len(x):
+                continue
+            common = _shared([a[p][5] for p in x], [b[p][5] for p in y])
+            linked = likely[np.ix_(x, y)] & (100 * common >= 75 * (n_a[x][:, None] + n_b[y] - common))
+            for p, q in zip(*np.nonzero(linked), strict=True):
+                u, v = a[x[p]], b[y[q]]
+                if merged.join(u[2], v[2]):
+                    out.append((u[0], v[0]))
+    return out
+
+
+def _merge_lists(open_: DataFrame, docs: DataFrame) -> DataFrame:
+    """(token, node, n, root, size, sig) -> links (u, v).  A member of a long list stands once for each pair of its block with another."""
+    nodes = open_.select(F.col("node").alias("u"), F.col("node").alias("v"))
+    sets = _sets_of(docs, nodes)
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    rows = open_.select("token", "node", "n", "root", "sig", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = rows.join(sets, "node").select("token", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "n", "root", "block", "sig", "shingles")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, links = None, [], []
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), strict=True))
+            numbers_ = [batch.column(i).to_pylist() for i in (3, 4, 5, 6)]
+            sig = batch.column(7).flatten().to_numpy().reshape(-1, COORDINATES)
+            shingles, ends = batch.column(8).flatten().to_numpy(), np.concatenate(([0], np.cumsum(batch.column(8).value_lengths().to_numpy(zero_copy_only=False))))
+            for i, key in enumerate(keys):
+                if key != last and held:
+                    links += _merge_list(held, last[1], last[2])
+                    held = []
+                last = key
+                # copies: a batch's memory must not live as long as a list
+                held.append((*(x[i] for x in numbers_), sig[i].copy(), shingles[ends[i] : ends[i + 1]].copy()))
+        if held:
+            links += _merge_list(held, last[1], last[2])
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["u", "v"])
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "token", "one", "two").sortWithinPartitions("token", "one", "two").mapInArrow(each, "u long, v long")
+
+
+def _stars(links: DataFrame) -> DataFrame:
+    return written(components(links).select(F.col("node").alias("u"), F.col("root").alias("v")), "links")
+
+
 def _links(postings: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Star edges (u, v) of the components of linked classes."""
     lists = postings.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("lead")).where("size > 1")
@@ -119,21 +223,13 @@ def _links(postings: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     stars = shared.where(f"size > {SMALL} and node != lead.node and 4 * least(n, lead.n) >= 3 * greatest(n, lead.n)").select(F.col("lead.node").alias("u"), F.col("node").alias("v"))
     small = shared.where(f"size <= {SMALL}").select("token", "node", "n")
     small = small.alias("a").join(small.alias("b"), F.expr(f"a.token = b.token and a.node < b.node and {_FITS}")).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    links = written(components(_confirmed(stars.unionByName(small), classes, docs)).select(F.col("node").alias("u"), F.col("root").alias("v")), "links")
-    long = shared.where(f"size > {SMALL}").select("token", "node", "n")
-    lo, hi = 1, 8
-    while True:
-        own = long.join(links.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = own.groupBy("token").agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).where(f"r0 != r1 and size > {lo}").select("token")
-        long = written(own.join(open_, "token").select("token", "node", "n", "root"), "open")
-        if long.isEmpty():
-            return links
-        ranked = long.withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy("node")) - 1)
-        leads = ranked.where(f"rank >= {lo} and rank < {hi}").alias("a")
-        met = leads.join(long.alias("b"), F.expr(f"a.token = b.token and a.node < b.node and a.root != b.root and {_FITS}")).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-        links = written(components(_confirmed(met, classes, docs).unionByName(links)).select(F.col("node").alias("u"), F.col("root").alias("v")), "links")
-        long = long.select("token", "node", "n")
-        lo, hi = hi, hi * 8
+    links = _stars(_confirmed(stars.unionByName(small), classes, docs))
+    own = shared.where(f"size > {SMALL}").select("token", "node", "n", "size").join(links.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = own.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("token")
+    open_ = written(own.join(split, "token").join(classes.select("node", "sig"), "node"), "open")
+    if open_.isEmpty():
+        return links
+    return _stars(_merge_lists(open_, docs).unionByName(links))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

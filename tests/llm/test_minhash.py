@@ -38,15 +38,18 @@ def test_against_brute_force(spark):
         assert got == want
 
 
-def test_long_lists_go_on_by_rank(spark):
+def test_long_lists_are_merged_in_blocks(spark):
     rng = random.Random(3)
     base = [f"b{i}" for i in range(100)]
     rows = []
     for i in range(60):  # half share too little to be linked, and stand in the same lists
         w = [x if rng.random() > (0.012 if i % 2 else 0.05) else f"x{rng.random()}" for x in base]
         rows.append((i, " ".join(w)))
-    got = sorted(tuple(r) for r in m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert got == sorted(m.brute_force(rows))
+    old = m.BLOCK, m._TILE
+    for m.BLOCK, m._TILE in (old, (10, 4)):
+        got = sorted(tuple(r) for r in m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        assert got == sorted(m.brute_force(rows))
+    m.BLOCK, m._TILE = old
 
 
 def test_one_of_each_group_stays(spark):
