@@ -1,4 +1,7 @@
 """All registered queries of the layout engine and their DuckDB equivalents."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import boundary, documents, folds, fonts, layout, render, spatial, text
+
+_PLANS = (layout, text, boundary, documents, spatial, fonts, render, folds)
+QUERIES = {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
+ORACLES = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}
