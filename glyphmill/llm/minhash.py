@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import free_name, written
 from .components import components
-from .sketch import U, binary, bloom, counted, in_bloom, map_bits, mixed, numbers, opened, shingle_sets
+from .sketch import U, binary, bloom, counted, in_bloom, map_bits, maybe_in, mixed, numbers, shingle_sets
 
 COORDINATES, MATCHES = 64, 32
 CELLS = 17
@@ -92,9 +92,8 @@ def _sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(bloom(pairs, keys, map_bits(2 * pairs.count())))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = opened(sent.value)
         for batch in batches:
-            batch = batch.filter(pa.array(in_bloom(seen, numbers(batch.column(0)))))
+            batch = batch.filter(pa.array(in_bloom(sent.value, numbers(batch.column(0)))))
             sets = list(shingle_sets(binary(batch.column(1))))
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             offsets = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
@@ -281,8 +280,18 @@ def brute_force(docs: list[tuple]) -> list[tuple]:
 
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each group: the one with the least id.  Repeated rows of an id, or of a text without id, stay once."""
-    gone = near_duplicates(docs, doc_id, text).where("not kept").select(F.col("doc_id").alias(free_name(docs, "gone"))).distinct()
-    left = docs.join(gone, F.col(f"`{doc_id}`") == F.col(gone.columns[0]), "left_anti")
-    key = free_name(docs, "key")
-    once = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)))
-    return left.withColumn(key, once).dropDuplicates([key]).drop(key)
+    d, t = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
+    gone = written(near_duplicates(docs, doc_id, text).where("not kept").select(F.col("doc_id").alias(free_name(docs, "gone"))).distinct(), "gone")
+    sent = docs.sparkSession.sparkContext.broadcast(bloom(gone, lambda b: numbers(b.column(0)), map_bits(gone.count())))
+    flag = free_name(docs, "maybe")
+    rows = docs.withColumn(flag, maybe_in(sent, d.cast("long")))
+    # only documents that may go are shuffled
+    left = rows.where(~F.col(flag)).unionByName(rows.where(F.col(flag)).join(gone, d == F.col(gone.columns[0]), "left_anti")).drop(flag)
+    twice, key = free_name(docs, "twice"), free_name(docs, "key")
+    again = docs.groupBy(d.alias(twice)).count().where((F.col("count") > 1) | F.col(twice).isNull()).select(twice)
+    if again.isEmpty():
+        return left
+    again = written(again, "again")
+    once = F.coalesce(d.cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce(t, F.lit("")), 256)))
+    same = d.eqNullSafe(F.col(twice))
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").withColumn(key, once).dropDuplicates([key]).drop(key))

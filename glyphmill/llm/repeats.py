@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, with_results, written
-from .sketch import U, binary, bloom, chunks, in_bloom, map_bits, mixed, numbers, opened, powers
+from .sketch import U, binary, bloom, chunks, in_bloom, map_bits, maybe_in, mixed, numbers, powers
 
 WINDOW = 400
 BUCKET = 4000
-_POSITION = 21
-_MOST = 1 << 20
+_POSITION = 20
+_MOST = 1 << 19
 _LANES = np.random.Generator(np.random.PCG64(400)).integers(0, 1 << 64, (2, 256), U, endpoint=False) | U(1)
 
 
@@ -78,7 +78,7 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def _pieces(texts: list[bytes], window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Buffers of about a megabyte: bytes, and for each text in it its number, its place in the buffer and the offset of its first byte there."""
+    """Buffers of about half a megabyte: bytes, and for each text in it its number, its place in the buffer and the offset of its first byte there."""
     long = [i for i, t in enumerate(texts) if len(t) > _MOST]
     for a, b in chunks(texts, _MOST):
         which = [i for i in range(a, b) if window <= len(texts[i]) <= _MOST]
@@ -138,11 +138,10 @@ def _contexts(docs: DataFrame, seen_map, window: int) -> DataFrame:
     """Bytes of the witnesses' segments (and of a few others, which changes nothing: their contents occur too)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = opened(seen_map.value)
         for batch in batches:
             keys = numbers(batch.column(1))
             for s in segments(binary(batch.column(2)), window):
-                got = np.flatnonzero(in_bloom(seen, _witness(keys[s["text"]], s["start"])))
+                got = np.flatnonzero(in_bloom(seen_map.value, _witness(keys[s["text"]], s["start"])))
                 raw, lo, hi = s["raw"], s["place"][got], s["place"][got] + s["n"][got] + window - 1
                 spans = [raw[x:y].tobytes() for x, y in zip(lo, hi, strict=True)]
                 yield pa.RecordBatch.from_arrays([_long(s["a"][got]), _long(s["s1"][got]), _long(s["s2"][got]), pa.array(spans, pa.binary())], ["a", "s1", "s2", "bytes"])
@@ -244,9 +243,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, bucket: int = BUCKET
     sent = spark.sparkContext.broadcast(bloom(shared, first, map_bits(shared.count())))
 
     def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = opened(sent.value)
         for batch in batches:
-            yield batch.filter(pa.array(in_bloom(seen, numbers(batch.column(4)))))
+            yield batch.filter(pa.array(in_bloom(sent.value, numbers(batch.column(4)))))
 
     some = written(found.mapInArrow(maybe, found.schema).join(shared, "a"), "candidates")
     contents = some.groupBy("a", "s1", "s2").agg(F.count("*").alias("c"), F.min(F.struct("k", "start")).alias("witness"))
@@ -295,14 +293,8 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
     hits = written(repeated_windows(texts.where(F.octet_length("text") >= window), window, bucket), "hits")
     sent = spark.sparkContext.broadcast(bloom(hits.select("k"), lambda b: numbers(b.column(0)), map_bits(hits.count())))
 
-    @F.pandas_udf("boolean")
-    def maybe(keys: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        seen = opened(sent.value)
-        for x in keys:
-            yield pd.Series(in_bloom(seen, x.to_numpy(np.int64).view(U)))
-
     mine, flag, got = free_name(docs, "key"), free_name(docs, "maybe"), free_name(docs, "cut")
-    rows = docs.withColumn(mine, k).withColumn(flag, maybe(F.col(mine)))
+    rows = docs.withColumn(mine, k).withColumn(flag, maybe_in(sent, F.col(mine)))
     h = hits.select(F.col("id").alias("h_id"), F.col("k").alias("h_k"), F.col("spans").alias("h_spans"))
     some = rows.where(F.col(flag)).join(h, (F.col(mine) == F.col("h_k")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("h_id")), "left")
     some = some.withColumn(got, _cut(window)(body, F.coalesce("h_spans", F.array().cast(_SPANS))))

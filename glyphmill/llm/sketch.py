@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 U = np.uint64
@@ -28,7 +29,7 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** i and its inverse, i < n, modulo 2 ** 64."""
     if len(_powers["up"]) < n:
-        n = max(n, 1 << 20)
+        n = max(n, 1 << 19)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             steps = np.full(n, base, U)
             steps[0] = 1
@@ -44,7 +45,7 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: n
     return mixed((sums[ends] - sums[starts]) * down[starts])
 
 
-def chunks(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[bytes], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Index ranges of texts of about ``most`` bytes together; a longer text is a range of its own."""
     start, total = 0, 0
     for i, t in enumerate(texts):
@@ -136,14 +137,25 @@ def _cells(x: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(mixed(x, salt) >> U(64 - bits)).astype(np.int64) for salt in (1, 2)]
 
 
-def opened(words: np.ndarray) -> np.ndarray:
-    """The map as booleans, for ``in_bloom``."""
-    return np.unpackbits(words.view(np.uint8)).astype(bool)
+def in_bloom(words: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which keys may be in the map; the map stays packed."""
+    packed = words.view(np.uint8)
+    hit = np.ones(len(x), bool)
+    for at in _cells(x, (len(packed) * 8).bit_length() - 1):
+        hit &= (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+    return hit
 
 
-def in_bloom(seen: np.ndarray, x: np.ndarray) -> np.ndarray:
-    one, two = _cells(x, int(len(seen)).bit_length() - 1)
-    return seen[one] & seen[two]
+def maybe_in(words, column: Column) -> Column:
+    """A condition on a long column: false only if the broadcast map does not hold it; null is false."""
+
+    @F.pandas_udf("boolean")
+    def maybe(keys: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in keys:
+            there = x.notna().to_numpy()
+            yield pd.Series(there & in_bloom(words.value, x.fillna(0).to_numpy(np.int64).view(U)))
+
+    return maybe(column)
 
 
 def numbers(column: pa.Array) -> np.ndarray:
