@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,19 +16,53 @@ PAGE = ["doc_id", "page_no"]
 
 
 def per_page(rows: DataFrame, fold: Callable[[list[dict]], list[dict]], schema: str, keys: list[str] | None = None) -> DataFrame:
-    """``fold`` over the rows of each page as dictionaries; its results get the keys in front."""
+    """``fold`` over the rows of each page as dictionaries; its results get the keys in front.
+
+    Rows are clustered and sorted by page once and read as a stream, so that a page costs its rows and no task holds more
+    than a page and a batch.
+    """
     keys = keys or PAGE
     types = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    names = [c.split()[0] for c in re.sub(r"<[^>]*>", "", schema).split(", ")]
+    names = keys + [c.split()[0] for c in re.sub(r"<[^>]*>", "", schema).split(", ")]
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held, out = None, [], []
+
+        def flush() -> None:
+            out.extend(tuple(last) + tuple(r[n] for n in names[len(keys) :]) for r in fold(held))
+
+        for batch in batches:
+            for r in batch.to_dict("records"):
+                key = tuple(r[k] for k in keys)
+                if key != last:
+                    if held:
+                        flush()
+                    last, held = key, []
+                held.append(r)
+            if len(out) >= 10_000:
+                yield table(out)
+                out.clear()
+        if held:
+            flush()
+        if out:
+            yield table(out)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = fold(pdf.to_dict("records"))
-        got = pd.DataFrame({n: pd.Series([r[n] for r in out], dtype=object) for n in names})
-        for k in reversed(keys):
-            got.insert(0, k, pdf[k].iloc[0])
-        return got
+    def table(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({n: pd.Series([r[i] for r in out], dtype=object) for i, n in enumerate(names)})
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(each, f"{types}, {schema}")
+
+
+def by_line(fold: Callable[[list[dict]], list[dict]]) -> Callable[[list[dict]], list[dict]]:
+    """A fold of lines as a fold of pages."""
+
+    def page(rows: list[dict]) -> list[dict]:
+        lines: dict[int, list[dict]] = {}
+        for r in rows:
+            lines.setdefault(r["line_no"], []).append(r)
+        return [{"line_no": n} | r for n in sorted(lines) for r in fold(lines[n])]
 
-    return rows.groupBy(*keys).applyInPandas(one, f"{types}, {schema}")
+    return page
 
 
 def median(values: list[float]) -> float:

@@ -36,7 +36,7 @@ def row_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _items(spark, sf_dir).select(*L.LINE, "item_no", "text", "x", "width", "font_family", "font_size", "color")
-    found = O.per_page(rows, O.merged_runs, "run int, text string, x double, width double, n int", L.LINE)
+    found = O.per_page(rows, O.by_line(O.merged_runs), "line_no int, run int, text string, x double, width double, n int")
     return found.select(*L.LINE, "run", F.md5("text").alias("text_md5"), "x", "width", "n")
 
 
@@ -136,7 +136,7 @@ def smart_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.floor(F.length("text") / 2).cast("int")
     parts = words.where(F.length("text") >= 2).select(*L.LINE, "word_no", "x", "width", F.length("text").alias("len"), F.posexplode(F.array(F.substr("text", F.lit(1), half), F.substr("text", half + 1))).alias("i", "text"))
     rows = parts.select(*L.LINE, (F.col("word_no") * 2 + F.col("i")).alias("item_no"), "text", F.when(F.col("i") == 0, F.col("x")).otherwise(F.col("x") + F.floor(F.col("len") / 2) * 5.5).alias("x"), (F.length("text") * 5.5).alias("width"))
-    found = O.per_page(rows, O.smart_boundaries(dictionary), "item_no int, space boolean, phase string", L.LINE)
+    found = O.per_page(rows, O.by_line(O.smart_boundaries(dictionary)), "line_no int, item_no int, space boolean, phase string")
     return found.groupBy("doc_id", "page_no", "phase", "space").agg(F.count("*").alias("n"))
 
 
