@@ -47,7 +47,8 @@ RESPACE_SIGNS = (
 )
 CONNECTORS = "to|with|for|and|of|at|in|on|as"
 KEPT_APART = ("if", "to", "for", "with", "and", "of", "in", "on", "at", "as", "or", "an", "a", "the", "be", "we", "us", "my", "me", "do", "no")
-_FRAGMENTS = r"\b(?:[a-z]{1,3}\s+)+[a-z]{1,3}\b"
+#: Possessive, as Java's other loops over groups recurse once a round.
+_FRAGMENTS = r"\b(?:[a-z]{1,3}\s+(?=[a-z]{1,3}\b))++[a-z]{1,3}\b"
 
 
 def join_fragments(c: Column) -> Column:
@@ -126,7 +127,7 @@ def hyphen_joins(previous: Column, line: Column) -> Column:
 
 def is_title_case_or_caps(c: Column) -> Column:
     t = F.trim(c)
-    return (F.length(t) <= 50) & ((t.rlike("^[A-Z][a-z]+( [A-Z][a-z]+)*$")) | ((t == F.upper(t)) & t.rlike("[A-Z]")))
+    return (F.length(t) <= 50) & ((t.rlike("^[A-Z][a-z]++(?: [A-Z][a-z]++)*+$")) | ((t == F.upper(t)) & t.rlike("[A-Z]")))
 
 
 #: Code-point ranges of each script, in the order in which ties are settled.

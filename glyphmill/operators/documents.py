@@ -20,8 +20,10 @@ def text_quality(items: DataFrame) -> DataFrame:
     joined = F.trim(F.regexp_replace("joined", r"\s+", " "))
     rows = rows.withColumn("joined", joined).withColumn("alpha", F.filter(F.split("joined", " "), lambda w: w.rlike("^[A-Za-z]+$")))
     share = lambda keep: F.size(F.filter("alpha", keep)) / F.greatest(F.lit(1), F.size("alpha"))
-    singles = F.regexp_count("joined", F.lit(r"(?:\b[A-Za-z]\b\s+){4,}\b[A-Za-z]\b"))
-    fragments = F.regexp_count("joined", F.lit(r"\b[A-Za-z]{1,2}(?:\s+[A-Za-z]{1,2}){4,}\b"))
+    # possessive loops: Java's others recurse once a round and end the JVM on long runs
+    edge, after = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+    singles = F.regexp_count("joined", F.lit(rf"{edge}(?:[A-Za-z]\s+(?=[A-Za-z]{after})){{4,}}+[A-Za-z]"))
+    fragments = F.regexp_count("joined", F.lit(rf"{edge}(?:[A-Za-z]{{1,2}}\s+(?=[A-Za-z]{{1,2}}{after})){{4,}}+[A-Za-z]{{1,2}}"))
     per_char = F.least(F.lit(1.0), F.col("n_items") / F.greatest(F.lit(1), F.length(F.replace("joined", F.lit(" "), F.lit("")))))
     penalty = F.least(F.lit(1.0), singles * 0.25 + fragments * 0.15 + F.col("short_items") / F.greatest(F.lit(1), F.col("alpha_items")) * 0.9 + per_char * 0.75)
     score = share(lambda w: F.length(w) >= 3) - share(lambda w: F.length(w) <= 2) * 0.6 - penalty

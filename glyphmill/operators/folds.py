@@ -9,6 +9,7 @@ import math
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -234,25 +235,29 @@ def _centre(r: dict) -> tuple[float, float]:
 
 
 def grown_clusters(items: list[dict], radius: float = 15.0) -> list[dict]:
-    """Clusters of one style: seeds in item order take items of their style near their moving centre until none is; two members at least."""
+    """Clusters of one style: seeds in item order take the free items of their style near the cluster's centre, and again while there are any; two members at least."""
     rows = sorted(items, key=lambda r: r["item_no"])
-    free, out, cluster = {r["item_no"]: r for r in rows}, [], 0
-    for seed in rows:
-        if seed["item_no"] not in free:
+    if not rows:
+        return []
+    at = np.array([_centre(r) for r in rows])
+    reach = np.array([radius + max(r["width"], r["height"]) / 2 for r in rows])
+    styles: dict[tuple, int] = {}
+    style = np.array([styles.setdefault((r["font_family"], r["font_weight"], r["font_style"]), len(styles)) for r in rows])
+    free, out, cluster = np.ones(len(rows), bool), [], 0
+    for seed in range(len(rows)):
+        if not free[seed]:
             continue
-        del free[seed["item_no"]]
-        members, grown = [seed], True
-        while grown:
-            grown = False
-            cx, cy = (sum(c) / len(members) for c in zip(*map(_centre, members), strict=True))
-            for r in list(free.values()):
-                x, y = _centre(r)
-                if (r["font_family"], r["font_weight"], r["font_style"]) == (seed["font_family"], seed["font_weight"], seed["font_style"]) and math.hypot(x - cx, y - cy) <= radius + max(r["width"], r["height"]) / 2:
-                    members.append(r)
-                    del free[r["item_no"]]
-                    grown = True
+        free[seed] = False
+        members = [seed]
+        while True:
+            centre = at[members].mean(0)
+            new = np.flatnonzero(free & (style == style[seed]) & (np.hypot(*(at - centre).T) <= reach))
+            if not len(new):
+                break
+            free[new] = False
+            members += new.tolist()
         if len(members) >= 2:
-            out += [{"item_no": r["item_no"], "cluster": cluster} for r in members]
+            out += [{"item_no": rows[i]["item_no"], "cluster": cluster} for i in members]
             cluster += 1
     return out
 
@@ -260,37 +265,41 @@ def grown_clusters(items: list[dict], radius: float = 15.0) -> list[dict]:
 def spatial_groups(items: list[dict]) -> list[dict]:
     """Groups by nearness of centres: from each free seed, all that is reached in steps under twice the seed's larger side; (item_no, group, kind).
 
-    A grid of cells as large as the step keeps the search to neighbours.
+    A grid over the page keeps the search to neighbours.
     """
     rows = sorted(items, key=lambda r: r["item_no"])
-    done: set[int] = set()
-    out, group = [], 0
-    for seed in rows:
-        if seed["item_no"] in done:
+    size = max(1.0, median([2 * max(r["width"], r["height"]) for r in rows]))
+    grid: dict[tuple[int, int], dict[int, tuple[float, float]]] = {}
+    places = [_centre(r) for r in rows]
+    for i, (x, y) in enumerate(places):
+        grid.setdefault((int(x // size), int(y // size)), {})[i] = (x, y)
+    free, out, group = set(range(len(rows))), [], 0
+
+    def take(i: int) -> None:
+        free.discard(i)
+        x, y = places[i]
+        del grid[(int(x // size), int(y // size))][i]
+
+    for seed in range(len(rows)):
+        if seed not in free:
             continue
-        step = 2 * max(seed["width"], seed["height"], 0.5)
-        grid: dict[tuple[int, int], list[dict]] = {}
-        for r in rows:
-            if r["item_no"] not in done:
-                x, y = _centre(r)
-                grid.setdefault((int(x // step), int(y // step)), []).append(r)
+        step = 2 * max(rows[seed]["width"], rows[seed]["height"], 0.5)
+        take(seed)
         members, todo = [], [seed]
-        done.add(seed["item_no"])
         while todo:
-            r = todo.pop(0)
-            members.append(r)
-            x, y = _centre(r)
-            cx, cy = int(x // step), int(y // step)
-            for cell in ((cx + i, cy + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
-                for o in grid.get(cell, ()):
-                    ox, oy = _centre(o)
-                    if o["item_no"] not in done and math.hypot(ox - x, oy - y) < step:
-                        done.add(o["item_no"])
+            i = todo.pop()
+            members.append(i)
+            x, y = places[i]
+            for cx in range(int((x - step) // size), int((x + step) // size) + 1):
+                for cy in range(int((y - step) // size), int((y + step) // size) + 1):
+                    for o in [o for o, (ox, oy) in grid.get((cx, cy), {}).items() if math.hypot(ox - x, oy - y) < step]:
+                        take(o)
                         todo.append(o)
-        ys = sorted({math.floor(r["y"] + 0.5) for r in members}, reverse=True)
+        members.sort()
+        ys = sorted({math.floor(rows[i]["y"] + 0.5) for i in members}, reverse=True)
         steps = [a - b for a, b in zip(ys[:-1], ys[1:], strict=True)]
-        kind = "line" if len(ys) == 1 else "paragraph" if sum(steps) / len(steps) < 1.5 * members[0]["height"] else "block"
-        out += [{"item_no": r["item_no"], "group": group, "kind": kind} for r in members]
+        kind = "line" if len(ys) == 1 else "paragraph" if sum(steps) / len(steps) < 1.5 * rows[seed]["height"] else "block"
+        out += [{"item_no": rows[i]["item_no"], "group": group, "kind": kind} for i in members]
         group += 1
     return out
 

@@ -107,11 +107,16 @@ def pushed_apart(items: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def style_matches(items: DataFrame, samples: DataFrame, reach: float = 50.0) -> DataFrame:
     """For each item the styled sample of its page that suits it best: four fifths nearness, one fifth like length; above a half."""
+    # a score above a half needs centres within 0.625 of ``reach``, so samples stand in the cells around theirs
+    cell = lambda c, side: F.floor((c["left" if side == "width" else "top"] + c[side] / 2) / reach)
     i = items.select(*PAGE, "item_no", box(F.col("x"), F.col("y"), F.col("width"), F.col("height")).alias("ibox"), F.length("text").alias("ilen"))
+    i = i.withColumn("cx", cell(F.col("ibox"), "width")).withColumn("cy", cell(F.col("ibox"), "height"))
     s = samples.select(*PAGE, "sample_no", "style", box(F.col("x"), F.col("y"), F.col("width"), F.col("height")).alias("sbox"), F.length("text").alias("slen"))
+    around = lambda c: F.explode(F.sequence(c - 1, c + 1))
+    s = s.withColumn("cx", around(cell(F.col("sbox"), "width"))).withColumn("cy", around(cell(F.col("sbox"), "height")))
     near = F.greatest(F.lit(0.0), 1 - centre_distance(F.col("ibox"), F.col("sbox")) / reach)
     alike = F.least("ilen", "slen") / F.greatest("ilen", "slen", F.lit(1))
-    scored = i.join(s, PAGE).withColumn("score", near * 0.8 + alike * 0.2).where("score > 0.5")
+    scored = i.join(s, [*PAGE, "cx", "cy"]).withColumn("score", near * 0.8 + alike * 0.2).where("score > 0.5")
     return scored.groupBy(*PAGE, "item_no").agg(F.min_by(F.struct("sample_no", "style", "score"), F.struct(-F.col("score"), F.col("sample_no"))).alias("m")).select(*PAGE, "item_no", "m.*")
 
 

@@ -68,7 +68,7 @@ def semantic_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def better_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two readings of each document: the first falls apart into letters for every third."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    letters = F.array_join(F.split(F.substring("text", 1, 400), ""), " ")
+    letters = F.regexp_replace("text", "(.)", "$1 ")
     a = docs.select("doc_id", F.lit(0).alias("page_no"), F.when(F.col("doc_id") % 3 == 0, letters).otherwise(F.col("text")).alias("text"))
     items = lambda df: df.select("doc_id", F.lit(0).alias("line_no"), F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("word_no", "text"))
     score = lambda df: D.text_quality(items(df)).select("doc_id", "score")

@@ -47,13 +47,13 @@ def fragment_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def style_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _items(spark, sf_dir).where("line_no % 20 < 4 and word_no < 12").select(*L.PAGE, "item_no", "x", "y", "width", "height", "font_family", "font_weight", "font_style")
+    rows = _items(spark, sf_dir).select(*L.PAGE, "item_no", "x", "y", "width", "height", "font_family", "font_weight", "font_style")
     found = O.per_page(rows, O.grown_clusters, "item_no long, cluster int")
     return found.groupBy(*L.PAGE, "cluster").agg(F.count("*").alias("n_items"), F.min("item_no").alias("first_item"))
 
 
 def spatial_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _items(spark, sf_dir).where("word_no % 6 < 2").select(*L.PAGE, "item_no", "x", "y", "width", "height")
+    rows = _items(spark, sf_dir).select(*L.PAGE, "item_no", "x", "y", "width", "height")
     found = O.per_page(rows, O.spatial_groups, "item_no long, group int, kind string")
     return found.groupBy(*L.PAGE, "group", "kind").agg(F.count("*").alias("n_items"), F.min("item_no").alias("first_item"))
 
@@ -99,7 +99,7 @@ def style_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def glyph_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words as glyphs of 5.5 each, with spaces between some of them."""
-    words = words_of(spark, sf_dir).where("line_no % 6 = 0")
+    words = words_of(spark, sf_dir)
     text = F.when(F.col("word_no") % 3 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text"))
     chars = words.select(*L.LINE, "word_no", "x", "y", "height", "font_family", "font_size", F.posexplode(F.split(text, "")).alias("i", "ch")).where("ch <> ''")
     left = F.col("x") + F.col("i") * 5.5
@@ -131,7 +131,7 @@ def ctm_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def smart_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words cut in the middle and put together again with the dictionary of the corpus (a bounded table of its frequent words)."""
-    words = words_of(spark, sf_dir).where("line_no % 4 = 0")
+    words = words_of(spark, sf_dir)
     dictionary = frozenset(r.word for r in frequent_words(words_of(spark, sf_dir), least=200).orderBy("word").limit(20_000).collect())
     half = F.floor(F.length("text") / 2).cast("int")
     parts = words.where(F.length("text") >= 2).select(*L.LINE, "word_no", "x", "width", F.length("text").alias("len"), F.posexplode(F.array(F.substr("text", F.lit(1), half), F.substr("text", half + 1))).alias("i", "text"))

@@ -58,12 +58,12 @@ def page_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def column_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two columns: words of odd places move to the right half."""
-    words = words_of(spark, sf_dir).where("width <= 60").withColumn("x", F.col("x") % 140 + F.when(F.col("word_no") % 2 == 1, 340.0).otherwise(0.0))
+    words = words_of(spark, sf_dir).withColumn("width", F.least("width", F.lit(60.0))).withColumn("x", F.col("x") % 140 + F.when(F.col("word_no") % 2 == 1, 340.0).otherwise(0.0))
     return L.column_gaps(words)
 
 
 def nearest_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = words_of(spark, sf_dir).where("line_no % 4 = 1").withColumn("x", F.floor(F.col("x") / 90) * 90)
+    words = words_of(spark, sf_dir).withColumn("x", F.floor(F.col("x") / 90) * 90)
     centres = L.clusters(words.select("doc_id", "page_no", F.floor(F.col("x") + 0.5).cast("double").alias("v")), L.PAGE, "v", 5)
     return L.nearest_columns(words, centres)
 
@@ -184,7 +184,7 @@ FROM base
 """,
     "column_gaps": WORDS_SQL
     + """,
-m AS (SELECT doc_id, page_no, x % 140 + CASE WHEN word_no % 2 = 1 THEN 340.0 ELSE 0.0 END AS x, width FROM words WHERE width <= 60),
+m AS (SELECT doc_id, page_no, x % 140 + CASE WHEN word_no % 2 = 1 THEN 340.0 ELSE 0.0 END AS x, least(width, 60.0) AS width FROM words),
 e AS (SELECT DISTINCT doc_id, page_no, floor(x + 0.5) AS edge FROM m UNION SELECT doc_id, page_no, floor(x + width + 0.5) FROM m),
 p AS (SELECT doc_id, page_no, max(x + width) AS pw FROM m GROUP BY doc_id, page_no),
 g AS (SELECT *, lead(edge) OVER (PARTITION BY doc_id, page_no ORDER BY edge) AS nxt FROM e),
@@ -195,7 +195,7 @@ FROM m JOIN c ON m.doc_id = c.doc_id AND m.page_no = c.page_no AND m.x >= start
 """,
     "nearest_columns": WORDS_SQL
     + """,
-m AS (SELECT doc_id, page_no, floor(x / 90) * 90 AS x, width FROM words WHERE line_no % 4 = 1),
+m AS (SELECT doc_id, page_no, floor(x / 90) * 90 AS x, width FROM words),
 b AS (SELECT doc_id, page_no, x AS v, CASE WHEN x - lag(x) OVER (PARTITION BY doc_id, page_no ORDER BY x) > 5 THEN 1 ELSE 0 END AS brk FROM m),
 g AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id, page_no ORDER BY v RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM b),
 k AS (SELECT DISTINCT doc_id, page_no, floor(avg(v) + 0.5) AS centre FROM g GROUP BY doc_id, page_no, c HAVING count(*) >= 2),

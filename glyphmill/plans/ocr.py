@@ -22,8 +22,8 @@ def ctc_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ocr_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words as recognised words, some of them doubtful."""
-    words = words_of(spark, sf_dir).where("line_no < 12")
-    seen = words.select("doc_id", "page_no", "text", "x", (F.col("line_no") * 14.0 + F.col("word_no") % 3).alias("y"), "width", F.lit(10.0).alias("height"), ((F.col("word_no") % 10) / 10.0).alias("confidence"))
+    words = words_of(spark, sf_dir)
+    seen = words.select("doc_id", "page_no", "text", "x", ((F.col("line_no") % 60) * 14.0 + F.col("word_no") % 3).alias("y"), "width", F.lit(10.0).alias("height"), ((F.col("word_no") % 10) / 10.0).alias("confidence"))
     found = O.words_as_items(seen)
     return found.groupBy("doc_id", "page_no").agg(F.count("*").alias("n_items"), F.max("item_no").cast("long").alias("last"), F.sum("font_size").alias("sizes"))
 

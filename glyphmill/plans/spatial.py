@@ -87,14 +87,14 @@ def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def style_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fortieth word of a page is a sample for the words around."""
-    items = _items(words_of(spark, sf_dir)).where("item_no % 3 = 0")
+    items = _items(words_of(spark, sf_dir))
     samples = _items(words_of(spark, sf_dir)).where("item_no % 40 = 1").select("doc_id", "page_no", F.col("item_no").alias("sample_no"), F.col("font_family").alias("style"), "text", "x", "y", "width", "height")
     found = S.style_matches(items, samples)
     return found.select("doc_id", "page_no", "item_no", "sample_no", "style", F.round("score", 9).alias("score"))
 
 
 def lone_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.alone_on_line(_items(words_of(spark, sf_dir)).where("item_no % 100000 = 0 or item_no % 7 = 3"))
+    return S.alone_on_line(_items(words_of(spark, sf_dir)).withColumn("y", F.col("y") + (F.col("item_no") * 7 % 31) * 0.375))
 
 
 def path_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,14 +194,14 @@ SELECT doc_id, page_no, first, second, round(ratio, 9) AS ratio FROM pr WHERE ra
 sc AS (
   SELECT a.doc_id, a.page_no, a.item_no, b.item_no AS sample_no, b.font_family AS style,
     greatest(0.0, 1 - sqrt(power(a.x + a.width / 2 - (b.x + b.width / 2), 2) + power(a.y + a.height / 2 - (b.y + b.height / 2), 2)) / 50.0) * 0.8 + CAST(least(length(a.text), length(b.text)) AS DOUBLE) / greatest(length(a.text), length(b.text), 1) * 0.2 AS score
-  FROM it a JOIN it b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.item_no % 3 = 0 AND b.item_no % 40 = 1),
+  FROM it a JOIN it b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND b.item_no % 40 = 1),
 rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, item_no ORDER BY score DESC, sample_no) AS r FROM sc WHERE score > 0.5)
 SELECT doc_id, page_no, item_no, sample_no, style, round(score, 9) AS score FROM rk WHERE r = 1
 """,
     "lone_items": WORDS_SQL
     + _ITEMS
     + """,
-i2 AS (SELECT * FROM it WHERE item_no % 100000 = 0 OR item_no % 7 = 3),
+i2 AS (SELECT * REPLACE (y + (item_no * 7 % 31) * 0.375 AS y) FROM it),
 ys AS (SELECT doc_id, page_no, y, count(*) AS n, lag(y) OVER (PARTITION BY doc_id, page_no ORDER BY y) AS below, lead(y) OVER (PARTITION BY doc_id, page_no ORDER BY y) AS above FROM i2 GROUP BY doc_id, page_no, y)
 SELECT i2.doc_id, i2.page_no, item_no FROM i2 JOIN ys ON i2.doc_id = ys.doc_id AND i2.page_no = ys.page_no AND i2.y = ys.y
 WHERE n = 1 AND NOT coalesce(i2.y - below < height * 0.5, false) AND NOT coalesce(above - i2.y < height * 0.5, false)
