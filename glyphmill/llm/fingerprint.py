@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import trim, written
 
 BUCKETS = 128
 BOUND = 400.0
@@ -69,7 +69,9 @@ def likeness(a: pd.Series, b: pd.Series) -> np.ndarray:
 def fingerprint(text: Column) -> Column:
     @F.pandas_udf("string")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([digest_of((t or "").encode("utf-8", "surrogatepass")) for t in texts])
+        out = pd.Series([digest_of((t or "").encode("utf-8", "surrogatepass")) for t in texts])
+        trim()
+        return out
 
     return of(text)
 

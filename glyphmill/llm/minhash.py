@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, written
+from .common import free_name, released, written
 from .components import components
 from .sketch import U, binary, bloom, counted, in_bloom, map_bits, maybe_in, mixed, numbers, shingle_sets
 
@@ -80,7 +80,7 @@ def _postings(classes: DataFrame) -> DataFrame:
             again = lambda i: np.repeat(batch.column(i).to_numpy(), keep)
             yield pa.RecordBatch.from_arrays([pa.array(picked.ravel()), pa.array(again(0)), pa.array(again(1))], ["token", "node", "n"])
 
-    return classes.select("node", "n", "sig").mapInArrow(each, "token long, node long, n long")
+    return classes.select("node", "n", "sig").mapInArrow(released(each), "token long, node long, n long")
 
 
 _FITS = "4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)"
@@ -99,7 +99,7 @@ def _sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             offsets = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["node", "shingles"])
 
-    return docs.mapInArrow(each, "node long, shingles array<long>").where(F.size("shingles") > 0)
+    return docs.mapInArrow(released(each), "node long, shingles array<long>").where(F.size("shingles") > 0)
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def _merge_lists(open_: DataFrame, docs: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["u", "v"])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "token", "one", "two").sortWithinPartitions("token", "one", "two").mapInArrow(each, "u long, v long")
+    return rows.repartition(parts, "token", "one", "two").sortWithinPartitions("token", "one", "two").mapInArrow(released(each), "u long, v long")
 
 
 def _stars(links: DataFrame) -> DataFrame:
@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     named = texts.where("doc_id is not null")
-    rows = written(texts.mapInArrow(_sketches, "doc_id long, n long, h1 long, h2 long, sig array<int>"), "sketches")
+    rows = written(texts.mapInArrow(released(_sketches), "doc_id long, n long, h1 long, h2 long, sig array<int>"), "sketches")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"), F.min_by("sig", "doc_id").alias("sig"))
     classes = written(classes, "classes")
     links = _links(_postings(classes), classes, named)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, with_results, written
+from .common import free_name, released, trim, with_results, written
 from .sketch import U, binary, chunks, mixed, span_hashes
 
 CELLS = 16
@@ -65,7 +65,7 @@ def _models(docs: DataFrame, sent) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["cell", "raw", "target"])
 
-    rows = docs.mapInArrow(each, "cell long, raw long, target long").groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    rows = docs.mapInArrow(released(each), "cell long, raw long, target long").groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     out = np.zeros((2, 1 << CELLS))
     out[0, rows["cell"].to_numpy(np.int64)] = rows["raw"]
     out[1, rows["cell"].to_numpy(np.int64)] = rows["target"]
@@ -88,6 +88,7 @@ def _score(docs: DataFrame, ratio: np.ndarray, text: Column) -> Column:
     @F.pandas_udf("n long, total double")
     def score(texts: pd.Series) -> pd.DataFrame:
         sums = [(len(g), float(sent.value[g].sum())) for g in grams([(t or "").encode("utf-8", "surrogatepass") for t in texts])]
+        trim()
         return pd.DataFrame(sums, columns=["n", "total"])
 
     return score(text)

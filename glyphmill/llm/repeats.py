@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, with_results, written
+from .common import free_name, released, with_results, written
 from .sketch import U, binary, bloom, chunks, in_bloom, map_bits, maybe_in, mixed, numbers, powers
 
 WINDOW = 400
@@ -131,7 +131,7 @@ def _found(docs: DataFrame, window: int) -> DataFrame:
                 cols = [batch.column(0).take(own), batch.column(1).take(own), pa.array(s["start"].astype(np.int32)), pa.array(s["n"].astype(np.int32)), _long(s["a"]), _long(s["s1"]), _long(s["s2"])]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "k", "start", "n", "a", "s1", "s2"])
 
-    return docs.mapInArrow(each, f"id {docs.schema['id'].dataType.simpleString()}, k long, start int, n int, a long, s1 long, s2 long")
+    return docs.mapInArrow(released(each), f"id {docs.schema['id'].dataType.simpleString()}, k long, start int, n int, a long, s1 long, s2 long")
 
 
 def _contexts(docs: DataFrame, seen_map, window: int) -> DataFrame:
@@ -146,7 +146,7 @@ def _contexts(docs: DataFrame, seen_map, window: int) -> DataFrame:
                 spans = [raw[x:y].tobytes() for x, y in zip(lo, hi, strict=True)]
                 yield pa.RecordBatch.from_arrays([_long(s["a"][got]), _long(s["s1"][got]), _long(s["s2"][got]), pa.array(spans, pa.binary())], ["a", "s1", "s2", "bytes"])
 
-    return docs.mapInArrow(each, "a long, s1 long, s2 long, bytes binary")
+    return docs.mapInArrow(released(each), "a long, s1 long, s2 long, bytes binary")
 
 
 def _window_ids(spans: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -211,7 +211,7 @@ def _refined(contexts: DataFrame, window: int) -> DataFrame:
             yield one(last, held)
 
     parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return contexts.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(each, _REFINED)
+    return contexts.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(released(each), _REFINED)
 
 
 def _counted(contexts: DataFrame, window: int) -> DataFrame:
@@ -226,7 +226,7 @@ def _counted(contexts: DataFrame, window: int) -> DataFrame:
                 cols = [_long(w1), _long(w2), part.column(1).take(pa.array(own)), part.column(2).take(pa.array(own)), pa.array((np.arange(len(own)) - begin[own]).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(cols, ["w1", "w2", "s1", "s2", "at"])
 
-    windows = contexts.dropDuplicates(["s1", "s2"]).select("a", "s1", "s2", "bytes").mapInArrow(each, "w1 long, w2 long, s1 long, s2 long, at int")
+    windows = contexts.dropDuplicates(["s1", "s2"]).select("a", "s1", "s2", "bytes").mapInArrow(released(each), "w1 long, w2 long, s1 long, s2 long, at int")
     windows = written(windows, "windows")
     again = windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
     spans = F.transform(F.collect_list("at"), lambda x: F.struct(x.alias("since"), (x + 1).alias("until")))
@@ -246,7 +246,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, bucket: int = BUCKET
         for batch in batches:
             yield batch.filter(pa.array(in_bloom(sent.value, numbers(batch.column(4)))))
 
-    some = written(found.mapInArrow(maybe, found.schema).join(shared, "a"), "candidates")
+    some = written(found.mapInArrow(released(maybe), found.schema).join(shared, "a"), "candidates")
     contents = some.groupBy("a", "s1", "s2").agg(F.count("*").alias("c"), F.min(F.struct("k", "start")).alias("witness"))
     contents = written(contents, "contents")
     buckets = contents.groupBy("a").agg(F.count("*").alias("contents")).where("contents > 1")

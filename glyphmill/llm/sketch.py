@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
+
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -109,7 +111,7 @@ def counted(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], bits:
         at = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], ["cell", "n"])
 
-    rows = df.mapInArrow(each, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    rows = df.mapInArrow(released(each), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(1 << bits, np.int64)
     out[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out
@@ -127,7 +129,7 @@ def bloom(df: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], bits: int
         at = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], ["cell", "word"])
 
-    rows = df.mapInArrow(each, "cell long, word long").groupBy("cell").agg(F.bit_or("word").alias("word")).toPandas()
+    rows = df.mapInArrow(released(each), "cell long, word long").groupBy("cell").agg(F.bit_or("word").alias("word")).toPandas()
     out = np.zeros((1 << bits) // 64, np.int64)
     out[rows["cell"].to_numpy(np.int64)] = rows["word"].to_numpy(np.int64)
     return out

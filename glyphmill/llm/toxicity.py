@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_results
+from .common import released, with_results
 
 SAMPLE = 20_000
 MOST = 5_000
@@ -220,7 +220,7 @@ def _candidates(docs: DataFrame, sent) -> pd.DataFrame:
         numbers = ([counts[1][t] for t in terms], [counts[0][t] for t in terms], [begun.get(t.split("*")[0], 0) for t in terms])
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array(x, pa.int64()) for x in numbers)], ["term", "toxic", "clean", "begun"])
 
-    sums = docs.mapInArrow(each, "term string, toxic long, clean long, begun long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_or("begun").alias("begun"))
+    sums = docs.mapInArrow(released(each), "term string, toxic long, clean long, begun long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_or("begun").alias("begun"))
     varied = ~F.col("term").contains("*") | (F.bit_count("begun") >= VARIED)
     good = sums.where(varied & (F.col("toxic") >= LEAST) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean"))))
     return good.orderBy(F.desc("toxic"), F.length("term"), "term").limit(MOST).toPandas()
@@ -240,7 +240,7 @@ def _cover(docs: DataFrame, sent, terms: list[str], clean: list[int]) -> list[st
     having: dict[int, set[int]] = {}
     if not terms:
         return []
-    rows = [r.terms for r in docs.mapInArrow(each, "terms array<int>").collect()]
+    rows = [r.terms for r in docs.mapInArrow(released(each), "terms array<int>").collect()]
     for d, found in enumerate(rows):
         for t in found:
             having.setdefault(t, set()).add(d)
@@ -285,7 +285,7 @@ def _evidence(docs: DataFrame, sent, words: list[str], times: dict[str, list[int
         names = list(counts)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[n][0] for n in names], pa.int64()), pa.array([counts[n][1] for n in names], pa.int64())], ["name", "toxic", "all"])
 
-    rows = docs.mapInArrow(each, "name string, toxic long, all long").groupBy("name").agg(F.sum("toxic").alias("toxic"), F.sum("all").alias("all")).collect()  # some per term
+    rows = docs.mapInArrow(released(each), "name string, toxic long, all long").groupBy("name").agg(F.sum("toxic").alias("toxic"), F.sum("all").alias("all")).collect()  # some per term
     got = {r["name"]: (r["toxic"], r["all"]) for r in rows}
     terms = {(n[4:], int(n[2])): v for n, v in got.items() if n.startswith("t ")}
     return terms, {k: got.get(k, (0, 0)) for k in "qu"}, got.get("n", (0, 0))
