@@ -1,7 +1,7 @@
 """All registered queries of the layout engine and their DuckDB equivalents."""
 
-from .plans import boundary, documents, folds, fonts, layout, ocr, render, spatial, text
+from .plans import boundary, documents, folds, fonts, items, layout, ocr, render, spatial, text
 
-_PLANS = (layout, text, boundary, documents, spatial, fonts, render, folds, ocr)
+_PLANS = (layout, items, text, boundary, documents, spatial, fonts, render, folds, ocr)
 QUERIES = {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
 ORACLES = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}
