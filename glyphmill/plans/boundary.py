@@ -86,7 +86,7 @@ def char_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = words.select(*L.LINE, own.alias("own"), F.struct("font_family", "font_size").alias("style"), (F.col("font_size") * 0.55).alias("styled"))
     found = rows.groupBy(*L.LINE).agg(F.collect_list("own").alias("own"), F.collect_set(F.struct("style", "styled")).alias("styles"))
     v = F.array_sort(F.concat("own", F.transform("styles", lambda s: s["styled"])))
-    return found.select(*L.LINE, F.get(v, F.floor(F.size(v) / 2).cast("int")).alias("char_width"))
+    return found.select(*L.LINE, F.round(F.get(v, F.floor(F.size(v) / 2).cast("int")), 9).alias("char_width"))
 
 
 def kmeans_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +201,7 @@ o AS (
   FROM (SELECT *, avg(font_size) OVER (PARTITION BY doc_id, page_no, line_no) AS mean FROM words)),
 a AS (SELECT doc_id, page_no, line_no, v FROM o UNION ALL SELECT doc_id, page_no, line_no, font_size * 0.55 FROM (SELECT DISTINCT doc_id, page_no, line_no, font_family, font_size FROM o)),
 g AS (SELECT doc_id, page_no, line_no, list_sort(list(v)) AS vs FROM a GROUP BY doc_id, page_no, line_no)
-SELECT doc_id, page_no, line_no, vs[1 + CAST(floor(len(vs) / 2.0) AS BIGINT)] AS char_width FROM g
+SELECT doc_id, page_no, line_no, round(vs[1 + CAST(floor(len(vs) / 2.0) AS BIGINT)], 9) AS char_width FROM g
 """,
 }
 

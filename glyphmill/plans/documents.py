@@ -34,7 +34,8 @@ def _figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = D.scan_analysis(D.document_figures(_figures(spark, sf_dir)))
-    return found.select("doc_id", "is_scanned", "confidence", "text_ratio", "image_ratio", "text_length", "images", "pages_with_text", "pages_with_images")
+    r = lambda c: F.round(c, 9).alias(c)
+    return found.select("doc_id", "is_scanned", r("confidence"), r("text_ratio"), r("image_ratio"), "text_length", "images", "pages_with_text", "pages_with_images")
 
 
 def preset_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,8 +138,8 @@ sc AS (SELECT *, (tp < 50 AND (ip >= 0.8 OR coverage > 0.3)) OR (wi > 0.7 AND wt
 ORACLES = {
     "scan_detect": _FIGURES
     + """
-SELECT doc_id, is_scanned, CAST(CASE WHEN is_scanned THEN least(1.0, 0.5 + CASE WHEN tp < 20 THEN 0.2 ELSE 0.0 END + CASE WHEN ip >= 1 THEN 0.2 ELSE 0.0 END + CASE WHEN coverage > 0.5 THEN 0.15 ELSE 0.0 END + CASE WHEN wi > 0.9 AND wt < 0.2 THEN 0.15 ELSE 0.0 END)
-  WHEN tp > 200 THEN 0.9 ELSE 0.5 END AS DOUBLE) AS confidence, tp / 1000 AS text_ratio, ip AS image_ratio, text_length, images, pages_with_text, pages_with_images FROM sc
+SELECT doc_id, is_scanned, round(CAST(CASE WHEN is_scanned THEN least(1.0, 0.5 + CASE WHEN tp < 20 THEN 0.2 ELSE 0.0 END + CASE WHEN ip >= 1 THEN 0.2 ELSE 0.0 END + CASE WHEN coverage > 0.5 THEN 0.15 ELSE 0.0 END + CASE WHEN wi > 0.9 AND wt < 0.2 THEN 0.15 ELSE 0.0 END)
+  WHEN tp > 200 THEN 0.9 ELSE 0.5 END AS DOUBLE), 9) AS confidence, round(tp / 1000, 9) AS text_ratio, round(ip, 9) AS image_ratio, text_length, images, pages_with_text, pages_with_images FROM sc
 """,
     "preset_suggest": _FIGURES
     + """

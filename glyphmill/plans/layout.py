@@ -26,7 +26,7 @@ def typeset_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def layout_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, words = lines_and_words(spark, sf_dir)
-    return L.page_statistics(words, lines)
+    return L.page_statistics(words, lines).withColumns({c: F.round(c, 9) for c in ("size_variance", "text_density", "words_per_line")})
 
 
 def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +96,7 @@ def table_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     cells = rows.select("doc_id", "page_no", "row_no", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell_no"), "jitter")
     cells = cells.withColumn("x", 50.0 + F.col("cell_no") * 100 + F.when(F.col("page_no") % 2 == 0, F.col("jitter")).otherwise(F.col("jitter") * 0.25))
-    return L.table_rows(cells)
+    return L.table_rows(cells).withColumn("alignment", F.round("alignment", 9))
 
 
 QUERIES = {f.__name__: f for f in (typeset_words, layout_statistics, regions_islands, paragraphs_islands, x_clusters, page_margins, column_gaps, nearest_columns, text_blocks, cursor_gaps, interval_union, reading_order, table_detect)}
@@ -134,7 +134,7 @@ f AS (
     quantile_cont(height, 0.5) AS median_height, quantile_cont(font_size, 0.5) AS median_font_size FROM words GROUP BY doc_id, page_no),
 ds AS (SELECT doc_id, page_no, font_size AS v, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY count(*) DESC, min(line_no * 100000 + word_no)) AS r FROM words GROUP BY doc_id, page_no, font_size),
 df AS (SELECT doc_id, page_no, font_family AS v, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY count(*) DESC, min(line_no * 100000 + word_no)) AS r FROM words GROUP BY doc_id, page_no, font_family)
-SELECT f.doc_id, f.page_no, size_variance, n_words, n_lines, median_height, median_font_size, text_density, CAST(n_words AS DOUBLE) / n_lines AS words_per_line,
+SELECT f.doc_id, f.page_no, round(size_variance, 9) AS size_variance, n_words, n_lines, median_height, median_font_size, round(text_density, 9) AS text_density, round(CAST(n_words AS DOUBLE) / n_lines, 9) AS words_per_line,
   coalesce(nullif(char_gap, 0.0), 0.0) AS char_gap, coalesce(nullif(word_gap, 0.0), 3.0) AS word_gap, coalesce(nullif(line_gap, 0.0), 12.0) AS line_gap,
   coalesce(nullif(paragraph_gap, 0.0), 20.0) AS paragraph_gap, coalesce(nullif(gs[1 + CAST(floor(len(gs) * 0.25) AS BIGINT)], 0.0), 2.0) AS p25_word_gap,
   coalesce(nullif(gs[1 + CAST(floor(len(gs) * 0.75) AS BIGINT)], 0.0), 5.0) AS p75_word_gap, ds.v AS dominant_size, df.v AS dominant_family
@@ -240,6 +240,6 @@ m AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY n_rows
 s AS (
   SELECT r.doc_id, r.page_no, r.n_cells, m.n_rows, col, 1 / (1 + var_pop(x)) AS score FROM r JOIN m ON r.doc_id = m.doc_id AND r.page_no = m.page_no AND r.n_cells = m.n_cells
   WHERE pick = 1 AND m.n_rows >= 2 GROUP BY r.doc_id, r.page_no, r.n_cells, m.n_rows, col)
-SELECT doc_id, page_no, n_cells, n_rows, avg(score) AS alignment, avg(score) > 0.5 AS is_table FROM s GROUP BY doc_id, page_no, n_cells, n_rows
+SELECT doc_id, page_no, n_cells, n_rows, round(avg(score), 9) AS alignment, avg(score) > 0.5 AS is_table FROM s GROUP BY doc_id, page_no, n_cells, n_rows
 """,
 }

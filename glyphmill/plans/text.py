@@ -66,7 +66,7 @@ def script_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = words_of(spark, sf_dir).withColumn("text", F.when((F.col("doc_id") % 3 == 0) & (F.col("word_no") % 2 == 0), F.substring("text", 1, 1)).otherwise(F.col("text")))
-    return D.text_quality(items)
+    return D.text_quality(items).withColumn("score", F.round("score", 9))
 
 
 def pair_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +197,7 @@ t AS (
 r AS (
   SELECT *, len(list_filter(alpha, lambda w: length(w) >= 3)) / CAST(greatest(1, len(alpha)) AS DOUBLE) AS long_ratio, len(list_filter(alpha, lambda w: length(w) <= 2)) / CAST(greatest(1, len(alpha)) AS DOUBLE) AS short_ratio,
     least(1.0, singles * 0.25 + fragments * 0.15 + short_items / CAST(greatest(1, alpha_items) AS DOUBLE) * 0.9 + least(1.0, n_items / CAST(greatest(1, length(replace(joined, ' ', ''))) AS DOUBLE)) * 0.75) AS penalty FROM t)
-SELECT doc_id, n_items, CAST(CASE WHEN length(joined) < 80 THEN 1.0 ELSE greatest(0.0, least(1.0, long_ratio - short_ratio * 0.6 - penalty)) END AS DOUBLE) AS score FROM r
+SELECT doc_id, n_items, round(CAST(CASE WHEN length(joined) < 80 THEN 1.0 ELSE greatest(0.0, least(1.0, long_ratio - short_ratio * 0.6 - penalty)) END AS DOUBLE), 9) AS score FROM r
 """,
     "pair_likelihood": WORDS_SQL
     + f""",
