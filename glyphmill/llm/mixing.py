@@ -69,12 +69,14 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     m = lambda c: F.col(f"{mine}.{c}")
     t = F.col(f"`{text}`")
     measure = F.struct(F.col(f"`{source}`").alias("source"), (-F.ln(uniform(F.col(f"`{doc_id}`"), seed)) / quality_weight(t)).alias("key"), F.col(f"`{doc_id}`").alias("id"), size_of(t).alias("size"))
-    plan = _plan(written(docs.select(measure.alias("m")).select("m.*"), "mix"), budget_share, most)
+    aim = free_name(docs, "aim_")
+    p = lambda c: F.col(f"{aim}.{c}")
+    plan = _plan(written(docs.select(measure.alias("m")).select("m.*"), "mix"), budget_share, most).withColumnRenamed("p", aim)
 
-    rows = docs.select(*kept, measure.alias(mine)).join(plan, m("source").eqNullSafe(F.col("p.source")), "left")
+    rows = docs.select(*kept, measure.alias(mine)).join(plan, m("source").eqNullSafe(p("source")), "left")
     # nulls come first in a struct's order, as in the window of _plan
-    part = F.when(F.struct(m("key"), m("id"), m("size")) <= F.col("p.last"), m("size")).otherwise(F.lit(0).cast("long"))
-    return rows.select(*kept, m("size").alias("size"), F.col("p.source_size").alias("source_size"), F.col("p.target").alias("target"), (F.col("p.epochs") * m("size") + part).cast("long").alias("taken"))
+    part = F.when(F.struct(m("key"), m("id"), m("size")) <= p("last"), m("size")).otherwise(F.lit(0).cast("long"))
+    return rows.select(*kept, m("size").alias("size"), p("source_size").alias("source_size"), p("target").alias("target"), (p("epochs") * m("size") + part).cast("long").alias("taken"))
 
 
 def _plan(facts: DataFrame, budget_share: float, most: float) -> DataFrame:

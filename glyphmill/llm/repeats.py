@@ -295,11 +295,12 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
 
     mine, flag, got = free_name(docs, "key"), free_name(docs, "maybe"), free_name(docs, "cut")
     rows = docs.withColumn(mine, k).withColumn(flag, maybe_in(sent, F.col(mine)))
-    h = hits.select(F.col("id").alias("h_id"), F.col("k").alias("h_k"), F.col("spans").alias("h_spans"))
-    some = rows.where(F.col(flag)).join(h, (F.col(mine) == F.col("h_k")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("h_id")), "left")
-    some = some.withColumn(got, _cut(window)(body, F.coalesce("h_spans", F.array().cast(_SPANS))))
+    h = {c: free_name(docs, f"hit_{c}") for c in ("id", "k", "spans")}
+    theirs = hits.select(*[F.col(c).alias(name) for c, name in h.items()])
+    some = rows.where(F.col(flag)).join(theirs, (F.col(mine) == F.col(h["k"])) & F.col(f"`{doc_id}`").eqNullSafe(F.col(h["id"])), "left")
+    some = some.withColumn(got, _cut(window)(body, F.coalesce(h["spans"], F.array().cast(_SPANS))))
     n_bytes = F.octet_length(body).cast("long")
-    some = with_results(some, {"n_bytes": n_bytes, **{c: F.col(f"{got}.{c}") for c in ("n_removed", "n_spans", "kept")}}).drop(mine, flag, got, "h_id", "h_k", "h_spans")
+    some = with_results(some, {"n_bytes": n_bytes, **{c: F.col(f"{got}.{c}") for c in ("n_removed", "n_spans", "kept")}}).drop(mine, flag, got, *h.values())
     zero = F.lit(0).cast("long")
     rest = with_results(rows.where(~F.col(flag)), {"n_bytes": n_bytes, "n_removed": zero, "n_spans": zero, "kept": body.cast("binary")}).drop(mine, flag)
     return some.unionByName(rest)

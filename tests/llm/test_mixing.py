@@ -1,6 +1,8 @@
 import math
 import re
 
+from pyspark.sql.functions import lit
+
 from glyphmill.llm import mixing as m
 
 
@@ -22,7 +24,7 @@ def water(sizes):
 def test_targets_and_taken(spark):
     rows = [(i, "w " * (i * 7919 % 97), ["a", "b", "c", "d", None][0 if i % 3 else i % 5], "x") for i in range(3000)]
     rows += [(None, None, "a", "y"), (7, "one two", "empty", "z"), (7, "one two", "empty", "z"), (8, "", "none", "z"), (9, "v " * 50000, "big", "q")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, Target string").repartition(7)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, Target string").withColumn("p", lit(1)).withColumn("rest", lit(2)).repartition(7)
     old, m.BUCKET_ROWS = m.BUCKET_ROWS, 50
     try:
         got, again = m.mix(df).collect(), m.mix(df.coalesce(1)).collect()

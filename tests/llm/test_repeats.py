@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql.functions import lit
+
 from glyphmill.llm import repeats as r
 
 
@@ -19,7 +21,7 @@ def corpus(rng, window):
 
 
 def run(spark, rows, **more):
-    df = spark.createDataFrame([(*x, "e") for x in rows], "doc_id long, text string, kept string").repartition(4)
+    df = spark.createDataFrame([(*x, "e") for x in rows], "doc_id long, text string, kept string").withColumn("hit_k", lit(1)).withColumn("key", lit("k")).repartition(4)
     return sorted((tuple(x) for x in r.digest(r.cut_repeats(df, **more)).collect()), key=str)
 
 
