@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -156,7 +155,3 @@ def dominant_script(counts: dict[str, Column], fallback: str = "latin") -> Colum
     for name in reversed(counts):
         out = F.when(counts[name] == most, name).otherwise(out)
     return F.when(most > 0, out).otherwise(fallback)
-
-
-def folded(c: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
-    return F.aggregate(c, start, step)

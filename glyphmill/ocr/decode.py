@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Detector settings (threshold of the map, least mean of a box, least area, padding by height).
@@ -76,13 +76,8 @@ def recognise(images: DataFrame, detect: Callable[[bytes], np.ndarray], read: Ca
 
 def words_as_items(words: DataFrame, least: float = 0.5) -> DataFrame:
     """Recognised words of enough confidence as text items: size 0.8 of the height, black, upright, in reading order by rows of half a height."""
-    order = F.row_number().over(_reading())
+    row = F.floor((F.col("y") + F.col("height") / 2) / F.greatest(F.lit(1.0), F.col("height")))
+    order = F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy(row, "x", "y", "text"))
     return words.where(F.col("confidence") >= least).select(
         "doc_id", "page_no", order.alias("item_no"), "text", "x", "y", "width", "height", (F.col("height") * 0.8).alias("font_size"), F.lit("Arial").alias("font_family"), F.lit(400).alias("font_weight"), F.lit("normal").alias("font_style"), F.lit("#000000").alias("color"), F.lit(0.0).alias("rotation")
     )
-
-
-def _reading():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("doc_id", "page_no").orderBy(F.floor((F.col("y") + F.col("height") / 2) / F.greatest(F.lit(1.0), F.col("height"))), "x", "y", "text")

@@ -10,8 +10,10 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 PAGE = ["doc_id", "page_no"]
 
@@ -24,16 +26,19 @@ def per_page(rows: DataFrame, fold: Callable[[list[dict]], list[dict]], schema:
     """
     keys = keys or PAGE
     types = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    names = keys + [c.split()[0] for c in re.sub(r"<[^>]*>", "", schema).split(", ")]
+    schema = f"{types}, {schema}"
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    names, columns = arrow.names[len(keys) :], rows.columns
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held, out = None, [], []
 
         def flush() -> None:
-            out.extend(tuple(last) + tuple(r[n] for n in names[len(keys) :]) for r in fold(held))
+            out.extend((*last, *(r[n] for n in names)) for r in fold(held))
 
         for batch in batches:
-            for r in batch.to_dict("records"):
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                r = dict(zip(columns, values, strict=True))
                 key = tuple(r[k] for k in keys)
                 if key != last:
                     if held:
@@ -48,10 +53,10 @@ def per_page(rows: DataFrame, fold: Callable[[list[dict]], list[dict]], schema:
         if out:
             yield table(out)
 
-    def table(out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame({n: pd.Series([r[i] for r in out], dtype=object) for i, n in enumerate(names)})
+    def table(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(each, f"{types}, {schema}")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(each, schema)
 
 
 def by_line(fold: Callable[[list[dict]], list[dict]]) -> Callable[[list[dict]], list[dict]]:

@@ -33,4 +33,4 @@ def run(stream: DataFrame, plan: Callable[[DataFrame], DataFrame], out: str, che
 
 def late_counts(events: DataFrame, window: str = "1 hour", delay: str = "2 hours") -> DataFrame:
     """Counts of events by type and window, with a watermark for late ones (for monitoring a stream of conversions)."""
-    return events.withWatermark("ts", delay).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
