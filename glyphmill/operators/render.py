@@ -40,7 +40,7 @@ def absolute_text(styled: DataFrame) -> DataFrame:
     """Fragments (page keys, layer, seq, html) of words placed one by one."""
     tag = F.when(F.col("font_style") != "normal", "em").when(F.col("font_weight") >= 600, "strong").otherwise("span")
     html = M.positioned_text(F.col("text"), F.col("x"), PAGE_HEIGHT - (F.col("y") + F.col("height")), F.greatest("height", F.col("font_size") * 1.15), F.col("style_class"), tag)
-    return styled.select(*PAGE, F.lit(LAYERS["text"]).alias("layer"), (F.col("line_no") * 100_000 + F.col("word_no")).cast("long").alias("seq"), html.alias("html"))
+    return styled.select(*PAGE, F.lit(LAYERS["text"]).alias("layer"), (F.col("line_no").cast("long") * 100_000 + F.col("word_no")).cast("long").alias("seq"), html.alias("html"))
 
 
 def pages_html(fragments: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def svg_layer(items: DataFrame) -> DataFrame:
     """Text that an SVG layer may hold, and how many items must stay HTML."""
     safe = M.svg_safe(F.col("text"), F.col("width"), F.col("font_size"))
     text = M.svg_text(F.col("text"), F.col("x"), PAGE_HEIGHT - F.col("y"), F.col("width"), F.col("font_size"), F.col("color"))
-    seq = (F.col("line_no") * 100_000 + F.col("word_no")).alias("seq")
+    seq = (F.col("line_no").cast("long") * 100_000 + F.col("word_no")).alias("seq")
     rows = items.select(*PAGE, seq, safe.alias("safe"), text.alias("text"))
     out = rows.groupBy(*PAGE).agg(joined(F.when(F.col("safe"), F.col("text")).otherwise(""), ["seq"], "").alias("body"), F.count_if(~F.col("safe")).alias("n_html"))
     return out.select(*PAGE, "n_html", F.concat(F.lit(f'<svg width="{PAGE_WIDTH:g}" height="{PAGE_HEIGHT:g}">'), F.col("body"), F.lit("</svg>")).alias("svg"))

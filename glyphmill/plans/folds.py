@@ -16,7 +16,7 @@ from .layout import lines_and_words, words_of
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words as items whose y strays a little from their line."""
     n = F.col("line_no") + F.col("word_no")
-    return words_of(spark, sf_dir).withColumn("item_no", F.col("line_no") * 100_000 + F.col("word_no")).withColumn("y", F.col("y") + F.when(n % 5 == 1, 0.5).when(n % 5 == 3, -0.5).otherwise(0.0))
+    return words_of(spark, sf_dir).withColumn("item_no", F.col("line_no").cast("long") * 100_000 + F.col("word_no")).withColumn("y", F.col("y") + F.when(n % 5 == 1, 0.5).when(n % 5 == 3, -0.5).otherwise(0.0))
 
 
 def line_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,12 +25,12 @@ def line_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anchored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = O.per_page(_items(spark, sf_dir).select(*L.PAGE, "item_no", "y"), O.anchored_lines, "item_no long, line int")
+    found = O.per_page(_items(spark, sf_dir).select(*L.PAGE, "item_no", "y"), O.anchored_lines, "item_no long, line long")
     return found.groupBy(*L.PAGE, "line").agg(F.count("*").alias("n_items"), F.min("item_no").alias("first_item"))
 
 
 def row_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = O.per_page(_items(spark, sf_dir).select(*L.PAGE, "item_no", "x", "y"), O.clustered_rows, "item_no long, row int")
+    found = O.per_page(_items(spark, sf_dir).select(*L.PAGE, "item_no", "x", "y"), O.clustered_rows, "item_no long, row long")
     return found.groupBy(*L.PAGE, "row").agg(F.count("*").alias("n_items"), F.min("item_no").alias("first_item"))
 
 
@@ -104,7 +104,7 @@ def glyph_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     chars = words.select(*L.LINE, "word_no", "x", "y", "height", "font_family", "font_size", F.posexplode(F.split(text, "")).alias("i", "ch")).where("ch <> ''")
     left = F.col("x") + F.col("i") * 5.5
     glyphs = chars.select(
-        *L.PAGE, ((F.col("line_no") * 100_000).cast("long") * 100_000 + F.col("word_no").cast("long") * 1000 + F.col("i")).alias("glyph_no"), "ch", left.alias("left"), (left + F.when(F.col("ch") == " ", 2.0).otherwise(5.5)).alias("right"), F.col("y").alias("bottom"), (F.col("y") + F.col("height")).alias("top"), F.col("font_family").alias("font_name"), "font_size"
+        *L.PAGE, ((F.col("line_no").cast("long") * 100_000 + F.col("word_no")) * 100_000 + F.col("i")).alias("glyph_no"), "ch", left.alias("left"), (left + F.when(F.col("ch") == " ", 2.0).otherwise(5.5)).alias("right"), F.col("y").alias("bottom"), (F.col("y") + F.col("height")).alias("top"), F.col("font_family").alias("font_name"), "font_size"
     )
     found = O.per_page(glyphs, O.glyph_runs, "run int, text string, x double, width double, n int")
     return found.select(*L.PAGE, "run", F.md5("text").alias("text_md5"), "x", F.round("width", 6).alias("width"), "n")

@@ -63,7 +63,7 @@ def column_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = words_of(spark, sf_dir).withColumn("x", F.floor(F.col("x") / 90) * 90)
+    words = words_of(spark, sf_dir).withColumn("x", F.floor(F.col("x") / 90) * 90.0)
     centres = L.clusters(words.select("doc_id", "page_no", F.floor(F.col("x") + 0.5).cast("double").alias("v")), L.PAGE, "v", 5)
     return L.nearest_columns(words, centres)
 

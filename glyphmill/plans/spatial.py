@@ -56,7 +56,7 @@ def _rules(words: DataFrame) -> DataFrame:
     w = words.where("(line_no + word_no) % 13 = 0")
     n = F.col("line_no") + F.col("word_no")
     return w.select(
-        "doc_id", "page_no", (F.col("line_no") * 100_000 + F.col("word_no")).alias("seq"), (F.col("x") - 1).alias("x"), (PAGE_HEIGHT - F.col("y") + F.when(n % 3 == 0, 9.0).otherwise(1.0)).alias("y"),
+        "doc_id", "page_no", (F.col("line_no").cast("long") * 100_000 + F.col("word_no")).alias("seq"), (F.col("x") - 1).alias("x"), (PAGE_HEIGHT - F.col("y") + F.when(n % 3 == 0, 9.0).otherwise(1.0)).alias("y"),
         (F.col("width") + F.when(n % 5 == 0, 320.0).when(n % 5 == 1, 30.0).otherwise(2.0)).alias("width"), F.when(n % 7 == 0, 8.0).otherwise(0.5).alias("height"), F.lit(0.5).alias("stroke_width"),
     )
 
@@ -77,7 +77,7 @@ def underlined_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _items(words: DataFrame) -> DataFrame:
     n = F.col("line_no") + F.col("word_no")
-    return words.select("doc_id", "page_no", (F.col("line_no") * 100_000 + F.col("word_no")).alias("item_no"), "text", (F.col("x") - F.when(n % 6 == 0, 8.0).otherwise(0.0)).alias("x"), "y", "width", "height", "font_family")
+    return words.select("doc_id", "page_no", (F.col("line_no").cast("long") * 100_000 + F.col("word_no")).alias("item_no"), "text", (F.col("x") - F.when(n % 6 == 0, 8.0).otherwise(0.0)).alias("x"), "y", "width", "height", "font_family")
 
 
 def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
