@@ -10,7 +10,7 @@ A document's set is its distinct shingles of five words (see ``sketch.shingle_se
    often a token's cell occurs among all tokens of all classes (a table of 2 ** CELLS counts), so that what many documents
    share comes last.  Tokens outside that prefix are skipped and only probed for pairs that met in it.
 3. Pairs of lists up to SMALL, and the least member of longer lists with the others, remain as candidates if their
-   signatures agree in MATCHES coordinates; with J >= 0.75 fewer than 32 of 64 has a chance of about 3e-6.  They are
+   signatures agree in MATCHES coordinates; with J >= 0.75 fewer than 32 of 64 has a chance of about 5e-6.  They are
    compared on the full sets, which are computed again from the texts of those documents alone, and form components.
 4. Longer lists whose members are not yet all in one component are merged in place: within a list, blocks of BLOCK
    members against each other, signatures are counted and full sets compared for members of different components only,
