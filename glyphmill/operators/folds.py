@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -444,7 +445,11 @@ def smart_boundaries(dictionary: frozenset[str]) -> Callable[[list[dict]], list[
     Phases: overlap, wide gap, punctuation, dictionary (the word so far is complete and does not begin a longer one, or the
     joined text is a word), case, gap.
     """
-    starts = frozenset(w[:i] for w in dictionary for i in range(1, len(w) + 1))
+    ordered = sorted(dictionary)
+
+    def begins(start: str) -> bool:
+        at = bisect_left(ordered, start)
+        return at < len(ordered) and ordered[at].startswith(start)
 
     def fold(items: list[dict]) -> list[dict]:
         out, word, last = [], "", None
@@ -463,7 +468,7 @@ def smart_boundaries(dictionary: frozenset[str]) -> Callable[[list[dict]], list[
                     space, phase = False, "punctuation"
                 elif joined in dictionary:
                     space, phase = False, "dictionary"
-                elif word.lower() in dictionary and joined not in starts:
+                elif word.lower() in dictionary and not begins(joined):
                     space, phase = True, "dictionary"
                 elif re.search("[a-z]$", word) and re.match("[A-Z]", text):
                     space, phase = True, "case"

@@ -141,7 +141,7 @@ def lexical_lines(lines: DataFrame, dictionary: DataFrame, share: float = 0.45)
 
 
 def lexical_split(runs: DataFrame, dictionary: frozenset[str], text: str = "text") -> DataFrame:
-    """Runs with long alphabetic text cut where a bounded dictionary and the letter pairs agree; the word's letters stay."""
+    """Runs with long alphabetic text cut where a dictionary and the letter pairs agree; the word's letters stay."""
     from .folds import suggested_cuts
 
     @F.pandas_udf("array<string>")

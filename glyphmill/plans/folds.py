@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.words import frequent_words
+from ..functions.words import frequent_words, word_set
 from ..operators import folds as O
 from ..operators import layout as L
 from ..schema import PAGE_HEIGHT
@@ -130,9 +130,9 @@ def ctm_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def smart_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words cut in the middle and put together again with the dictionary of the corpus (a bounded table of its frequent words)."""
+    """Words cut in the middle and put together again with the dictionary of the corpus (all its frequent words)."""
     words = words_of(spark, sf_dir)
-    dictionary = frozenset(r.word for r in frequent_words(words_of(spark, sf_dir), least=200).orderBy("word").limit(20_000).collect())
+    dictionary = word_set(frequent_words(words_of(spark, sf_dir), least=200))
     half = F.floor(F.length("text") / 2).cast("int")
     parts = words.where(F.length("text") >= 2).select(*L.LINE, "word_no", "x", "width", F.length("text").alias("len"), F.posexplode(F.array(F.substr("text", F.lit(1), half), F.substr("text", half + 1))).alias("i", "text"))
     rows = parts.select(*L.LINE, (F.col("word_no") * 2 + F.col("i")).alias("item_no"), "text", F.when(F.col("i") == 0, F.col("x")).otherwise(F.col("x") + F.floor(F.col("len") / 2) * 5.5).alias("x"), (F.length("text") * 5.5).alias("width"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fonts as N
 from ..functions import text as X
-from ..functions.words import frequent_words
+from ..functions.words import frequent_words, word_set
 from ..operators import documents as D
 from ..operators import items as I
 from ..operators import layout as L
@@ -72,9 +72,9 @@ def lexical_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring words glued together, cut again by a bounded dictionary and letter pairs."""
+    """Neighbouring words glued together, cut again by a dictionary of the corpus and letter pairs."""
     words = words_of(spark, sf_dir)
-    dictionary = frozenset(r.word for r in frequent_words(words, least=100).orderBy("word").limit(20_000).collect())
+    dictionary = word_set(frequent_words(words, least=100))
     lines = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split("text", "\n")).alias("line"))
     runs = lines.select(F.split("line", " ").alias("w")).where("size(w) >= 3").select(F.concat(F.get("w", F.lit(0)), F.get("w", F.lit(1)), F.get("w", F.lit(2))).alias("text"))
     out = I.lexical_split(runs.groupBy("text").agg(F.count("*").alias("n")), dictionary)
