@@ -72,11 +72,12 @@ def lexical_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring words glued together, cut again by a dictionary of the corpus and letter pairs."""
+    """All three neighbouring words of a line glued together, cut again by a dictionary of the corpus and letter pairs."""
     words = words_of(spark, sf_dir)
     dictionary = word_set(frequent_words(words, least=100))
     lines = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split("text", "\n")).alias("line"))
-    runs = lines.select(F.split("line", " ").alias("w")).where("size(w) >= 3").select(F.concat(F.get("w", F.lit(0)), F.get("w", F.lit(1)), F.get("w", F.lit(2))).alias("text"))
+    tokens = lines.select(F.split("line", " ").alias("w")).where("size(w) >= 3")
+    runs = tokens.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.concat(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))).alias("text"))
     out = I.lexical_split(runs.groupBy("text").agg(F.count("*").alias("n")), dictionary)
     return out
 

@@ -1,5 +1,7 @@
 """Queries with a dictionary of the corpus, on documents and dictionaries made here."""
 
+from collections import Counter
+
 import pytest
 
 from glyphmill.plans import folds, items
@@ -30,3 +32,10 @@ def test_lexical_split_knows_the_whole_dictionary(spark, folder, monkeypatch):
     monkeypatch.setattr(items, "frequent_words", lambda *_, **__: large(spark))
     got = [r.split_text for r in items.lexical_split(spark, folder("winter winter winter")).collect()]
     assert got == ["winter winter winter"]
+
+
+def test_lexical_split_reads_whole_lines(spark, folder, monkeypatch):
+    monkeypatch.setattr(items, "frequent_words", lambda *_, **__: large(spark))
+    texts = ["one two three four five\nsix seven\n\ntwo three  four", "three four five " * 200 + "end"]
+    want = Counter("".join(w[i : i + 3]) for t in texts for line in t.split("\n") for w in [line.split(" ")] for i in range(len(w) - 2))
+    assert {r.text: r.n for r in items.lexical_split(spark, folder(*texts)).collect()} == want
