@@ -2,8 +2,10 @@
 
 Markup is stripped to lines, one for each block element; elements that are furniture by kind, role, class or id leave an
 empty line where they were.  The length of a line block is the sum over WINDOW lines; text starts at a surge (a block
-above SURGE characters with text going on) and ends at a dive (blocks without text), and the span with most text is kept
-whole.  Where the page marks its article, the surge and the dive are the article's ends, so that short lines stay.
+above SURGE characters with text going on) and ends at a dive (blocks without text), and all such spans are kept.  Marks
+of an article are evidence on every page: spans end at its borders, its lines are one block, so that short lines and
+furniture inside do not cut it, and its text counts MARKED times.  A page without any surge gives its marked lines, or
+all lines.
 
 A kept line has its character references decoded and its white space turned into single spaces; lines are joined by two
 newlines.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import with_results
 
-WINDOW, SURGE = 3, 80
+WINDOW, SURGE, MARKED = 3, 80, 2
 
 #: Kinds of elements, and class or id words of furniture.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -127,37 +130,33 @@ def lines_of(page: str) -> list[tuple[str, int]]:
     return lines
 
 
-def _span(lengths: list[int]) -> tuple[int, int]:
-    """From surge to dive: of all such spans the one with most text; without a surge, all lines."""
-    n = len(lengths)
-    blocks = [sum(lengths[i : i + WINDOW]) for i in range(n)]
-    best, at = (0, n), 0
-    most = 0
-    while at < n:
-        if lengths[at] and blocks[at] > SURGE:
-            end = at
-            while end < n and (lengths[end] or sum(lengths[end : end + 2])):
-                end += 1
-            if sum(lengths[at:end]) > most:
-                most, best = sum(lengths[at:end]), (at, end)
-            at = end
-        at += 1
-    return best
+def _spans(lines: list[tuple[str, int]]) -> list[tuple[int, int]]:
+    """All spans from surge to dive; without a surge, the marked lines, or else all lines."""
+    spans: list[tuple[int, int]] = []
+    marked: list[tuple[int, int]] = []
+    for article, group in groupby(range(len(lines)), key=lambda i: lines[i][1]):
+        at, *rest = group
+        n = at + 1 + len(rest)
+        lengths = {i: len(lines[i][0]) for i in range(at, n)}
+        if article:
+            marked.append((at, n))
+            if MARKED * sum(lengths.values()) > SURGE:
+                spans.append((at, n))
+            continue
+        while at < n:
+            if lengths[at] and sum(lengths.get(i, 0) for i in range(at, at + WINDOW)) > SURGE:
+                end = at
+                while end < n and (lengths[end] or lengths.get(end + 1, 0)):
+                    end += 1
+                spans.append((at, end))
+                at = end
+            at += 1
+    return spans or (marked if any(lines[i][0] for lo, hi in marked for i in range(lo, hi)) else [(0, len(lines))])
 
 
 def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
-    sizes: dict[int, int] = {}
-    for text, article in lines:
-        if article:
-            sizes[article] = sizes.get(article, 0) + len(text)
-    if any(sizes.values()):
-        chosen = max(sizes, key=lambda a: (sizes[a], -a))
-        kept = [text for text, article in lines if article == chosen]
-    else:
-        lo, hi = _span([len(text) for text, _ in lines])
-        kept = [text for text, _ in lines[lo:hi]]
-    return "\n\n".join(text for text in kept if text)
+    return "\n\n".join(text for lo, hi in _spans(lines) for text, _ in lines[lo:hi] if text)
 
 
 def text_of(html: Column) -> Column:

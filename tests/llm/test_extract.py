@@ -23,3 +23,12 @@ def test_odd_pages(spark):
     assert got[:4] == [(1, "", 0), (2, "", 0), (3, "only", 4), (4, "plain & text", 12)]
     assert got[5][2] == 199999 and got[6][1] == "x"
     assert e.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_text_beside_marks_and_behind_adverts():
+    one, two, three = (f"Sentence {i} of the text that goes on for quite a while, as texts do. " * 2 for i in "abc")
+    one, two, three = one.strip(), two.strip(), three.strip()
+    assert e.main_text(f"<div><p>{one}</p><p>{two}</p></div><article>x</article>") == f"{one}\n\n{two}"
+    assert e.main_text(f"<article><p>{one}</p><p>Short</p></article><div>Home</div><article><p>{two}</p></article>") == f"{one}\n\nShort\n\n{two}"
+    assert e.main_text(f"<p>{one}</p><p>{two}</p><div class=ad>a</div><form>f</form><p>{three}</p>") == f"{one}\n\n{two}\n\n{three}"
+    assert e.main_text("<div>Home</div><article>x</article>") == "x"
