@@ -1,8 +1,9 @@
 """Secret scan: fixed patterns, plus tokens that a battery of randomness tests finds, all in DataFrame functions.
 
 Fixed kinds: assign, access and hex (below).  The method's kind, ``random``, looks at every maximal run of 20 or more of
-``[A-Za-z0-9+/_=-]`` that meets no fixed span and infers an encoding from its characters (hex, base32, base36, base62,
-base64).  Against the hypothesis "ordinary text" it asks three questions, each as a test of equivalence with a uniform
+either base64 alphabet, ``[A-Za-z0-9+/]`` and ``[A-Za-z0-9_-]``, with its padding, in what the fixed spans leave; so a run
+ends at an inner ``=``, and a path is also cut at ``/``.  An encoding is inferred from the characters (hex, base32, base36,
+base62, base64); of accepted runs, one within another is left out.  Against the hypothesis "ordinary text" it asks three questions, each as a test of equivalence with a uniform
 random string whose power grows with the token's length n over k symbols:
 
 * chi-squared: two characters of ordinary text are equal with probability LETTER_MASS at least, so its statistic is n
@@ -33,7 +34,7 @@ BASE = (
     ("hex", r"([0-9a-f]{24,})", 1, 24),
 )
 KINDS = ("assign", "access", "hex", "random")
-CANDIDATE = r"([A-Za-z0-9+/_=-]{20,})"
+CANDIDATES = tuple(rf"([A-Za-z0-9{marks}]{{20,}}(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?)" for marks in ("+/", "_-"))
 LETTER_MASS, LEAST_AWAY, MARGIN, FDR, BINS = 0.055, 0.5, 0.75, 0.05, 4000
 SPAN = "struct<start:int,kind:int,end:int>"
 
@@ -85,14 +86,13 @@ def _normal(z: Column) -> Column:
 
 
 def battery(token: Column) -> Column:
-    """struct<encoding, n, k, p> of a token; p is null where the characters show no encoding (one class only, mixed marks, padding alone)."""
+    """struct<encoding, n, k, p> of a token; p is null where the characters show no encoding (mixed marks, padding alone)."""
     body = F.regexp_replace(token, "={1,2}$", "")
     alphabet, name = F.lit(None).cast("string"), F.lit(None).cast("string")
     for label, pattern, letters in reversed(ENCODINGS):
         ok = body.rlike(f"^{pattern}$")
         alphabet, name = F.when(ok, F.lit(letters)).otherwise(alphabet), F.when(ok, F.lit(label)).otherwise(name)
-    mixed = body.rlike("[0-9]") & body.rlike("[A-Za-z]") & (F.length(body) >= 20)
-    alphabet = F.when(mixed, alphabet)
+    alphabet = F.when(F.length(body) >= 20, alphabet)
     values = F.transform(F.split(body, ""), lambda c: (F.instr(alphabet, c) - 1).cast("double"))
     return F.struct(body.alias("body"), name.alias("encoding"), F.length(alphabet).cast("double").alias("k"), F.when(alphabet.isNotNull(), values).alias("values"))
 
@@ -116,11 +116,24 @@ def _p_value(t: Column) -> Column:
     return F.greatest(p_chi, p_runs, p_serial)
 
 
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with a space for each character of the spans, which are in order and may overlap."""
+    state = F.aggregate(
+        spans,
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda a, s: F.struct(
+            F.greatest(a["at"], s["end"]).alias("at"),
+            F.concat(a["out"], F.substr(text, a["at"] + 1, F.greatest(F.lit(0), s["start"] - a["at"])), F.repeat(F.lit(" "), F.greatest(F.lit(0), s["end"] - F.greatest(a["at"], s["start"])))).alias("out"),
+        ),
+    )
+    return F.concat(state["out"], F.substr(text, state["at"] + 1, F.length(text)))
+
+
 def _candidates(text: Column, base: Column) -> Column:
     """Candidate tokens apart from the fixed spans, with their p-values: array<struct<start, end, encoding, bits, p>>."""
     text = F.coalesce(text, F.lit(""))
-    spans = _found(text, 3, CANDIDATE, 1, 20)
-    free = F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    rest = F.when(F.size(base) == 0, text).otherwise(_blanked(text, base))
+    free = F.array_distinct(F.concat(*[_found(rest, 3, pattern, 1, 20) for pattern in CANDIDATES]))
     tested = F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), battery(F.substr(text, s["start"] + 1, s["end"] - s["start"])).alias("t")))
     tested = F.filter(tested, lambda s: s["t"]["values"].isNotNull())
     return F.transform(
@@ -156,8 +169,10 @@ def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     base, tested = free_name(docs, "base_"), free_name(docs, "tested_")
     found = docs.withColumn(base, base_spans(F.col(f"`{text}`"))).withColumn(tested, _candidates(F.col(f"`{text}`"), F.col(base)))
     mean, cut = _cut(found, tested)
+    accepted = F.filter(F.col(tested), lambda c: c["p"] * mean / c["bits"] <= cut)
+    within = lambda c: F.exists(accepted, lambda o: (o["start"] <= c["start"]) & (c["end"] <= o["end"]) & (o["end"] - o["start"] > c["end"] - c["start"]))
     random = F.transform(
-        F.filter(F.col(tested), lambda c: c["p"] * mean / c["bits"] <= cut),
+        F.filter(accepted, lambda c: ~within(c)),
         lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")),
     )
     return with_results(found, {"base_spans": F.col(base), "spans": F.array_sort(F.concat(F.col(base), random))}).drop(base, tested)

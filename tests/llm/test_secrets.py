@@ -52,3 +52,16 @@ def test_method_finds_random_tokens_only(spark):
 
 def test_empty_table(spark):
     assert s.scan_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_every_piece_is_tested(spark):
+    rng = random.Random(4)
+    rand = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    wide, url, hexa = letters + "0123456789+/", letters + "0123456789-_", "0123456789abcdef"
+    value, path, letter, rest = "x" + rand(62, wide) + "x", "y" + rand(30, url) + "-_" + rand(30, url) + "y", rand(64, letters), "z" + rand(62, letters)
+    cases = [(f"Signature={value} end", value), (f"AccountKey={value}== end", value + "=="), (f"https://a.example/get/{path}/file", path), (f"key {letter} end", letter), (f"é🙂 {rand(30, hexa)}{rest} end", rest)]
+    plain = "zzzzzzzzzzzzzzzzzzzzzzzzz donaudampfschifffahrtsgesellschaft ---------------------- how-to-build-a-better-mouse-trap getElementByIdAndReturnValue"
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)] + [(9, plain)], "doc_id long, text string")
+    got = {r.doc_id: [r.text[x.start : x.end] for x in r.spans if x.kind == 3] for r in s.scan_secrets(df).collect()}
+    assert all(want in got[i] for i, (_, want) in enumerate(cases)) and got[9] == []
