@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -24,12 +24,18 @@ def _small(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, tag: str = "stars") -> DataFrame:
-    """(u, v), any order -> (node, root), root the least node of the component, for every node of an edge but the roots."""
+    """(u, v), any order -> (node, root), root the least node of the component, for every node of an edge but the roots.
+
+    A round reads the table of the round before, which is deleted when the next stands.
+    """
     edges = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    state = None
+    state, before = None, None
     while True:
-        edges = written(_small(_large(edges)).distinct(), tag)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        now = Scratch(edges.sparkSession)
+        edges = now.written(_small(_large(edges)).distinct(), tag)
+        if before:
+            before.__exit__()
+        seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if seen == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
+        state, before = seen, now
