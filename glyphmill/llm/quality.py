@@ -2,10 +2,15 @@
 
 Words are lowered; words and pairs of neighbouring words fall into 2 ** CELLS cells.  The raw model counts the n-grams of
 all documents, the target model those of documents labelled good; a bounded sample of SAMPLE labelled rows (those with
-the least hash of doc_id) fits it, every other one of them, all documents feed the raw model.  A document's log weight is the sum over its n-grams
-of log p_target - log p_raw - offset; the offset is the cut of the mean log ratio that best parts the rest of the sample.
-k is the number of documents with a positive weight; the k largest of BETA * log weight + Gumbel noise (from a hash of
-doc_id) are kept, which is sampling without replacement in proportion to weight ** BETA.
+the least hash of doc_id) fits it, every other one of them, all documents feed the raw model.  A document's ratio is the sum over its n-grams of log p_target -
+log p_raw, divided by their number plus PRIOR: normalised for length, and drawn to nought where there is little text.
+
+The sum of thousands of ratios would be far larger than any noise and resampling would be a threshold, so the ratio is
+tempered: a logistic curve of it, fitted on the other half of the sample (with smoothed labels, so that its slope stays
+finite), gives the share of good documents at each ratio.  That share is the importance weight p(text | good) / p(text), up
+to a constant.  Documents are drawn without replacement in proportion to it: the k largest of log weight + Gumbel noise
+(from a hash of seed, doc_id and text) are kept.  k is BUDGET times the expected number of good
+documents, which is the sum of all weights.
 
 Edge cases: a document without words is rejected; null labels and labels of unknown documents are passed over; without
 labels of both kinds nothing is rejected but wordless texts; rows of one doc_id and text get one decision; an input
@@ -27,9 +32,10 @@ from .sketch import U, binary, chunks, mixed, span_hashes
 
 CELLS = 16
 SAMPLE = 20_000
-BETA = 8.0
 SMOOTHING = 0.05
-GOOD = 10
+PRIOR = 8
+BUDGET = 1.01
+SEED = 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -94,26 +100,38 @@ def _score(docs: DataFrame, ratio: np.ndarray, text: Column) -> Column:
     return score(text)
 
 
-def _offset(scores: DataFrame, sample: pd.DataFrame) -> float:
-    """The cut of the mean log ratio that parts good from bad labelled documents best; the lowest of equals, halfway to the next."""
+def curve(ratios: np.ndarray, good: np.ndarray) -> tuple[float, float] | None:
+    """(a, b) of the share of good documents 1 / (1 + exp(-a - b * ratio)): logistic regression by Newton steps on smoothed labels; None without both kinds."""
+    n, m = int(good.sum()), int((~good).sum())
+    if not n or not m:
+        return None
+    aim = np.where(good, (n + 1) / (n + 2), 1 / (m + 2))
+    middle, width = ratios.mean(), max(float(ratios.std()), 1e-9)
+    x = np.stack([np.ones(len(ratios)), (ratios - middle) / width])
+    at = np.array([np.log((n + 1) / (m + 1)), 0.0])
+    loss = lambda c: float((np.logaddexp(0, c @ x) - aim * (c @ x)).sum())
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(at @ x, -60, 60)))
+        step = np.linalg.solve((x * (p * (1 - p))) @ x.T + 1e-9 * np.eye(2), x @ (aim - p))
+        size = 1.0
+        while loss(at + size * step) > loss(at) and size > 1e-6:
+            size /= 2
+        at = at + size * step
+        if float(np.abs(size * step).max()) < 1e-9:
+            break
+    return float(at[0] - at[1] * middle / width), float(at[1] / width)
+
+
+def _fitted(scores: DataFrame, sample: pd.DataFrame) -> tuple[float, float] | None:
+    """The curve over the labelled documents of ``sample``, which bounds what comes to the driver."""
     spark = scores.sparkSession
-    known = scores.where("n > 0").join(F.broadcast(spark.createDataFrame(sample)), "doc_id").select((F.col("total") / F.col("n")).alias("mean"), "good").toPandas()
-    known = known.sort_values("mean")
-    if known.empty or known["good"].nunique() < 2:
-        return -np.inf
-    good = known["good"].to_numpy(bool)
-    # a good document lost weighs as much as GOOD bad ones let in
-    lost = np.concatenate(([0], np.cumsum(good))) / good.sum()
-    let = 1 - np.concatenate(([0], np.cumsum(~good))) / (~good).sum()
-    at = int(np.argmin(GOOD * lost + let))
-    means = known["mean"].to_numpy()
-    if at == 0:
-        return float(means[0]) - 1e-6
-    return float((means[at - 1] + means[min(at, len(means) - 1)]) / 2)
-
-
-def _uniform(doc_id: Column, h: Column) -> Column:
-    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("gumbel"), doc_id.cast("string"), h.cast("string"))), 1, 12), 16, 10).cast("double")
+    known = scores.where("n > 0").join(F.broadcast(spark.createDataFrame(sample)), "doc_id").select((F.col("total") / (F.col("n") + PRIOR)).alias("ratio"), "good", "doc_id", "h").toPandas()
+    known = known.sort_values(["doc_id", "h"])
+    return curve(known["ratio"].to_numpy(float), known["good"].to_numpy(bool))
+
+
+def _uniform(doc_id: Column, h: Column, seed: int) -> Column:
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"gumbel {seed}"), doc_id.cast("string"), h.cast("string"))), 1, 12), 16, 10).cast("double")
     return (bits + 0.5) / float(1 << 48)
 
 
@@ -138,7 +156,7 @@ def _least_of_top(keys: DataFrame, k: int) -> tuple[float, int] | None:
     return row["key"], row["tie"]
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> DataFrame:
+def judge_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, budget: float = BUDGET, seed: int = SEED) -> DataFrame:
     """``docs`` with log_weight (null without words) and kept."""
     spark = docs.sparkSession
     known = labels.select(F.col(f"`{doc_id}`").alias("doc_id"), (F.col(f"`{label}`") == 1).alias("good")).dropna().dropDuplicates(["doc_id"])
@@ -149,20 +167,24 @@ def judge_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     ratio = _ratio(*_models(texts, spark.sparkContext.broadcast((ids, good))))
     scores = texts.select("doc_id", F.xxhash64("text").alias("h"), _score(docs, ratio, F.col("text")).alias("s"))
     scores = written(scores.select("doc_id", "h", "s.*"), "quality")
-    offset = _offset(scores, picked[1::2]) if len(picked) > 1 else -np.inf
+    fitted = _fitted(scores, picked[1::2]) if len(picked) > 1 else None
 
-    def weight(s: Column) -> Column:
-        return F.when(s["n"] > 0, s["total"] - offset * s["n"] if np.isfinite(offset) else F.lit(1.0))
+    def log_weight(s: Column) -> Column:
+        if fitted is None:
+            return F.when(s["n"] > 0, F.lit(0.0))
+        z = fitted[0] + fitted[1] * s["total"] / (s["n"] + PRIOR)
+        return F.when(s["n"] > 0, -F.log1p(F.exp(-F.greatest(z, F.lit(-60.0)))))
 
     def key(w: Column, one: Column, h: Column) -> Column:
-        return F.struct((BETA * w - F.ln(-F.ln(_uniform(one, h)))).alias("key"), F.xxhash64(one, h).alias("tie"))
+        return F.struct((w - F.ln(-F.ln(_uniform(one, h, seed)))).alias("key"), F.xxhash64(one, h).alias("tie"))
 
-    keyed = scores.select(weight(F.struct("n", "total")).alias("w"), "doc_id", "h").where("w is not null").select("w", key(F.col("w"), F.col("doc_id"), F.col("h")).alias("k")).select("w", "k.*")
-    k = keyed.where("w > 0").count()
+    keyed = scores.select(log_weight(F.struct("n", "total")).alias("w"), "doc_id", "h").where("w is not null").select("w", key(F.col("w"), F.col("doc_id"), F.col("h")).alias("k")).select("w", "k.*")
+    # in whole billionths, so that the order of the sum does not matter
+    k = round(budget * float(keyed.agg(F.sum(F.round(F.exp("w") * 1e9).cast("decimal(38,0)"))).first()[0] or 0) / 10**9)
     last = _least_of_top(keyed, k) if k else (float("inf"), 0)
     rows = free_name(docs, "judged")
     judged = docs.withColumn(rows, _score(docs, ratio, t))
-    w = weight(F.col(rows))
+    w = log_weight(F.col(rows))
     kept = F.lit(True) if last is None else key(w, d, F.xxhash64(t)) >= F.struct(F.lit(last[0]).alias("key"), F.lit(last[1]).cast("long").alias("tie"))
     return with_results(judged, {"log_weight": w, "kept": F.coalesce(w.isNotNull() & kept, F.lit(False))}).drop(rows)
 
