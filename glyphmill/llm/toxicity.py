@@ -2,19 +2,25 @@
 
 Lexicon: learned from labelled documents.  A term is a whole word, or a stem (the beginning of VARIED or more different
 words) together with the number of different words, 1 to 3, that a document must have of it.  Candidates are terms of at
-least LEAST toxic documents, of whose documents at least PRECISION are toxic; MOST of them at most, those of most toxic
-documents first.  Of these a greedy cover of the toxic documents is taken (each clean document that has a term costs COST), as long as
-a term adds a share GAIN of them, or the share AGAIN counting those that one or two terms cover already; so words which
-only happen to stand in toxic documents stay out.
+least LEAST toxic documents, of whose documents at least PRECISION are toxic.  Of these a greedy cover of the toxic
+documents is taken (each clean document that has a term costs COST), as long as a term adds a share GAIN of them, or the
+share AGAIN counting those that one or two terms cover already; so words which only happen to stand in toxic documents stay
+out.  A term in fewer than a share GAIN of the toxic documents can never be taken, so only the others come to the driver:
+at most the terms of a document divided by GAIN.
 
 Matching: the terms form a trie; its intersection with the Levenshtein automata of all terms (one edit for words of
-FUZZY letters or more, two from twice that) is made deterministic as words are read, state by state, and shared by all
-texts.  A stem matches the beginning of a word exactly.
+SHORT letters or more, two from twice FUZZY; for stems from FUZZY letters, as four letters and an edit begin too many
+words) is made deterministic as words are read, state by state, and shared by all texts.  A stem matches any beginning of
+a word.
+
+The sample may hold the two labels in other shares than all labels do; clean counts are scaled to those, so that precision,
+weights and p0 do not depend on the size of the input.
 
 Score: the probability that at least one hit is abuse, 1 - (1 - p0) * product of (1 - p * c) over hits with p * c of a half
-or more; without such a hit the largest p * c, or p0.  p is a term's smoothed precision for its number of edits, c is 1,
-or the learned weight of hits whose context window says that they are quoted: quotation marks around them or a reporting
-word within REACH words.  p0 is the share of toxic documents among those without a hit.
+or more; without such a hit the largest p * c, or p0.  p is a term's smoothed precision for its number of edits; where the
+labelled documents show no such hit, that of all terms of its kind, length and number of edits.  c is 1, or the learned
+weight of hits whose context window says that they are quoted: quotation marks around them or a reporting word within
+REACH words.  p0 is the share of toxic documents among those without a hit.
 
 Edge cases: null and empty texts score p0; without toxic labels every score is p0 = 0; null labels and labels of unknown
 documents are passed over; rows of one doc_id are each scored; columns named like results are replaced; empty tables give
@@ -37,10 +43,9 @@ from pyspark.sql import functions as F
 from .common import released, with_results
 
 SAMPLE = 20_000
-MOST = 5_000
 PRECISION, LEAST, GAIN, AGAIN, COST, TIMES = 0.85, 3, 0.003, 0.02, 4, 3
 SHORTEST, LONGEST, VARIED = 4, 8, 4
-FUZZY = 5
+FUZZY, SHORT = 5, 4
 REACH = 5
 #: Words that report speech.
 REPORTING = frozenset("said says wrote called calls quote quoted quotes word term says dit mot sagte wort dijo palabra".split())
@@ -60,9 +65,9 @@ class Lexicon:
         self.word_at: dict[int, str] = {}
         self.stem_at: dict[int, str] = {}
         self.edits: list[int] = [0]  # the most that a term below a node allows
-        for terms, at, fuzzy in ((words, self.word_at, True), (stems, self.stem_at, False)):
+        for terms, at, least in ((words, self.word_at, SHORT), (stems, self.stem_at, FUZZY)):
             for term in terms:
-                allowed = self.allowed(term) if fuzzy else 0
+                allowed = self.allowed(term, least)
                 node = 0
                 self.edits[0] = max(self.edits[0], allowed)
                 for c in term:
@@ -77,11 +82,12 @@ class Lexicon:
         self.start = self._close({(0, 0)})
         self.steps: dict[tuple[frozenset, str], frozenset] = {}
         self.ends: dict[frozenset, tuple] = {}
+        self.begins: dict[frozenset, tuple] = {}
         self.seen: dict[str, tuple] = {}
 
     @staticmethod
-    def allowed(term: str) -> int:
-        return len(term) // FUZZY if len(term) < 2 * FUZZY else 2
+    def allowed(term: str, least: int = SHORT) -> int:
+        return 2 if len(term) >= 2 * FUZZY else int(len(term) >= least)
 
     def _close(self, states: set[tuple[int, int]]) -> frozenset:
         """Adds what a missing letter leads to; a state with more edits than its subtree allows is dropped."""
@@ -106,12 +112,12 @@ class Lexicon:
                 out.add((node, e + 1))
         return self._close(out)
 
-    def _end(self, state: frozenset) -> tuple:
-        """Words accepted here with their least edits."""
+    def _end(self, state: frozenset, at: dict[int, str], least: int) -> tuple:
+        """Terms of ``at`` accepted here with their least edits."""
         best: dict[str, int] = {}
         for node, e in state:
-            term = self.word_at.get(node)
-            if term is not None and e <= self.allowed(term):
+            term = at.get(node)
+            if term is not None and e <= self.allowed(term, least):
                 best[term] = min(e, best.get(term, 9))
         return tuple(sorted(best.items()))
 
@@ -120,27 +126,35 @@ class Lexicon:
         found = self.seen.get(word)
         if found is not None:
             return found
-        state, stems, exact = self.start, [], 0
-        for c in word:
-            key = (state, c if c in self.letters else "")
-            after = self.steps.get(key)
-            if after is None:
-                after = self.steps[key] = self._step(state, key[1])
-            state = after
-            exact = self.children[exact].get(c, -1) if exact >= 0 else -1
-            if exact in self.stem_at:
-                stems.append((self.stem_at[exact] + "*", 0))
-            if not state and exact < 0:
+        state, stems = self.start, {}
+        for c in ("", *word):
+            if c:
+                key = (state, c if c in self.letters else "")
+                after = self.steps.get(key)
+                if after is None:
+                    after = self.steps[key] = self._step(state, key[1])
+                state = after
+            begun = self.begins.get(state)
+            if begun is None:
+                begun = self.begins[state] = self._end(state, self.stem_at, FUZZY)
+            for stem, e in begun:
+                stems[stem] = min(e, stems.get(stem, 9))
+            if not state:
                 break
         if state not in self.ends:
-            self.ends[state] = self._end(state)
-        found = tuple(stems) + self.ends[state]
+            self.ends[state] = self._end(state, self.word_at, SHORT)
+        found = tuple(sorted((t + "*", e) for t, e in stems.items())) + self.ends[state]
         if len(self.seen) > 500_000:
             self.seen.clear()
         self.seen[word] = found
         return found
 
 
+def kind_of(term: str, edits: int) -> tuple[bool, int, int]:
+    """Stem or word, letters (the shorter a term, the more words are near it) and edits."""
+    return "*" in term, min(len(term.split("*")[0]), 2 * FUZZY), edits
+
+
 def _quoted(text: str, start: int, end: int) -> bool:
     """Quotation marks around the hit within its window, or a reporting word near."""
     left, right = text[max(0, start - 60) : start], text[end : end + 60]
@@ -175,15 +189,18 @@ def hits_of(lexicon: Lexicon, times: dict[str, list[int]], text: str | None) ->
     return out
 
 
-def _labelled(labels: DataFrame, doc_id: str, label: str, holdout: bool, sample: int) -> dict[int, int]:
-    """A sample of at most ``sample`` labelled rows, half of it toxic if there are as many: those with the least hash."""
+def _labelled(labels: DataFrame, doc_id: str, label: str, holdout: bool, sample: int) -> tuple[dict[int, int], float]:
+    """A sample of at most ``sample`` labelled rows, half of it toxic if there are as many: those with the least hash; and what a clean one counts beside a toxic one."""
     known = labels.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).dropna().dropDuplicates(["id"])
     if holdout:
         known = known.where(F.crc32(F.col("id").cast("string")) % 5 != 0)
-    out = {}
+    all_ = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    out, scale = {}, {}
     for y in (1, 0):
-        out |= {r.id: r.y for r in known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample // 2).collect()}
-    return out
+        got = {r.id: r.y for r in known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample // 2).collect()}
+        out |= got
+        scale[y] = all_[y] / len(got) if got else 1.0
+    return out, scale[0] / scale[1]
 
 
 def _features(text: str | None) -> tuple[set[str], set[str]]:
@@ -200,8 +217,8 @@ def _known_rows(batch: pa.RecordBatch, known: dict[int, int], ids: np.ndarray) -
         yield known[int(own[i])], batch.column(1)[i].as_py()
 
 
-def _candidates(docs: DataFrame, sent) -> pd.DataFrame:
-    """Terms with the number of toxic and other labelled documents that have them; only candidates come back."""
+def _candidates(docs: DataFrame, sent, scale: float, toxic: int) -> pd.DataFrame:
+    """Terms with the number of toxic and (scaled) clean documents that have them; only those that a cover can take come back."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
@@ -222,12 +239,14 @@ def _candidates(docs: DataFrame, sent) -> pd.DataFrame:
 
     sums = docs.mapInArrow(released(each), "term string, toxic long, clean long, begun long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_or("begun").alias("begun"))
     varied = ~F.col("term").contains("*") | (F.bit_count("begun") >= VARIED)
-    good = sums.where(varied & (F.col("toxic") >= LEAST) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean"))))
-    return good.orderBy(F.desc("toxic"), F.length("term"), "term").limit(MOST).toPandas()
+    sums = sums.withColumn("clean", F.col("clean") * scale)
+    least = max(LEAST, GAIN * toxic)
+    good = sums.where(varied & (F.col("toxic") >= least) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean"))))
+    return good.toPandas().sort_values(["toxic", "term"], ascending=[False, True])
 
 
-def _cover(docs: DataFrame, sent, terms: list[str], clean: list[int]) -> list[str]:
-    """Greedy cover of the sample's toxic documents; half of ``sample`` documents and MOST terms bound what comes back."""
+def _cover(docs: DataFrame, sent, terms: list[str], clean: list[float]) -> list[str]:
+    """Greedy cover of the sample's toxic documents, of which half of ``sample`` come back at most."""
     wanted = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,24 +311,32 @@ def _evidence(docs: DataFrame, sent, words: list[str], times: dict[str, list[int
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", holdout: bool = True, sample: int = SAMPLE) -> dict:
-    """The model: terms, their weights, the weight of quoted hits and the base rate.  Bounded by ``sample`` and MOST."""
-    known = _labelled(labels, doc_id, label, holdout, sample)
+    """The model: terms, their weights, the weight of quoted hits and the base rate.  Fitted on ``sample`` documents at most."""
+    known, scale = _labelled(labels, doc_id, label, holdout, sample)
     sent = docs.sparkSession.sparkContext.broadcast(known)
     texts = docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`"))
-    found = _candidates(texts, sent) if known else pd.DataFrame({"term": [], "clean": []})
+    found = _candidates(texts, sent, scale, sum(known.values())) if known else pd.DataFrame({"term": [], "clean": []})
     words, times = _split(_cover(texts, sent, list(found["term"]), list(found["clean"])))
     terms, by, none = _evidence(texts, sent, words, times) if known else ({}, {"q": (0, 0), "u": (0, 0)}, (0, 0))
-    # an unseen misspelling counts as half a term; a seen one as its own precision says
+    every = lambda at: (at[0], at[0] + (at[1] - at[0]) * scale)
+    terms, by, none = {k: every(v) for k, v in terms.items()}, {k: every(v) for k, v in by.items()}, every(none)
+    kinds: dict[tuple, list[float]] = {}
+    for (term, edits), (t, n) in terms.items():
+        at = kinds.setdefault(kind_of(term, edits), [0.0, 0.0])
+        at[0] += t
+        at[1] += n
+    # a misspelling that no label shows counts as those of its kind, a kind that none shows as half a term
     weights = {k: (t + (0.5 if k[1] else 0.95)) / (n + 1) for k, (t, n) in terms.items()}
+    unseen = {k: (t + 0.6 * 2) / (n + 2) for k, (t, n) in kinds.items() if k[2]}
     plain = (by["u"][0] + 1) / (by["u"][1] + 1)
     quoted = min(1.0, (by["q"][0] + 0.3 * 5) / (by["q"][1] + 5) / plain)
-    return {"words": words, "stems": times, "weights": weights, "unseen": 0.6, "quoted": quoted, "base": min(0.4, none[0] / none[1]) if none[1] else 0.0}
+    return {"words": words, "stems": times, "weights": weights, "unseen": unseen, "quoted": quoted, "base": min(0.4, none[0] / none[1]) if none[1] else 0.0}
 
 
 def probability(model: dict, hits: list) -> float:
     best: dict[tuple, float] = {}
     for term, edits, quoted, *_ in hits:
-        p = model["weights"].get((term, edits), model["unseen"] if edits else 0.45)
+        p = model["weights"].get((term, edits), model["unseen"].get(kind_of(term, edits), 0.6) if edits else 0.45)
         best[(term, edits)] = max(best.get((term, edits), 0.0), p * (model["quoted"] if quoted else 1.0))
     clean = 1 - model["base"]
     for p in best.values():
@@ -318,7 +345,7 @@ def probability(model: dict, hits: list) -> float:
 
 
 def _scored(docs: DataFrame, model: dict, text: Column) -> Column:
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # MOST terms at most
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # the terms of the cover
 
     @F.pandas_udf("score double, hits array<struct<term:string,edits:int,quoted:boolean,start:int,end:int>>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
