@@ -14,7 +14,8 @@ A document's set is its distinct shingles of five words (see ``sketch.shingle_se
    compared on the full sets, which are computed again from the texts of those documents alone, and form components.
 4. Longer lists whose members are not yet all in one component are merged in place: within a list, blocks of BLOCK
    members against each other, signatures are counted and full sets compared for members of different components only,
-   and what joins two components comes out.  No list is cut, and no pairs of it are written.
+   and what joins two components comes out.  A pair is compared under the rarest token that both have (which stands in
+   both prefixes) and under no other.  No list is cut, and no pairs of it are written.
 
 Edge cases: a null, empty or wordless text has the empty set and no links; a null doc_id has no links, a null component
 and is kept; rows of one doc_id count as one document, linked if one of its texts is; repeated rows get equal results; an
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, released, written
+from .common import Scratch, free_name, released, written
 from .components import components
 from .sketch import U, binary, bloom, counted, in_bloom, map_bits, maybe_in, mixed, numbers, shingle_sets
 
@@ -60,22 +61,32 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _tokens(signatures: pa.Array) -> np.ndarray:
+def _tokens(values: np.ndarray) -> np.ndarray:
     """Tokens of each signature: a row of COORDINATES hashes."""
-    values = signatures.flatten().to_numpy().view(np.uint32).astype(U).reshape(-1, COORDINATES)
-    return mixed(values | (np.arange(1, COORDINATES + 1, dtype=U) << U(32)), 3)
+    return mixed(values.view(np.uint32).astype(U).reshape(-1, COORDINATES) | (np.arange(1, COORDINATES + 1, dtype=U) << U(32)), 3)
 
 
-def _postings(classes: DataFrame) -> DataFrame:
+def _flat(signatures: pa.Array) -> np.ndarray:
+    return signatures.flatten().to_numpy()
+
+
+def _frequency(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return counts[(tokens >> U(64 - CELLS)).astype(np.int64)]
+
+
+def _token_counts(classes: DataFrame):
+    """How often each cell of tokens occurs among all classes: 2 ** CELLS numbers, broadcast."""
+    return classes.sparkSession.sparkContext.broadcast(counted(classes.select("sig"), lambda b: _tokens(_flat(b.column(0))).ravel(), CELLS))
+
+
+def _postings(classes: DataFrame, sent) -> DataFrame:
     """(token, node, n) for the prefix of each class."""
-    counts = counted(classes.select("sig"), lambda b: _tokens(b.column(0)).ravel(), CELLS)
-    sent = classes.sparkSession.sparkContext.broadcast(counts)  # 2 ** CELLS numbers
     keep = COORDINATES - MATCHES + 1
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = _tokens(batch.column(2))
-            order = np.lexsort((tokens, sent.value[(tokens >> U(64 - CELLS)).astype(np.int64)]), axis=1)[:, :keep]
+            tokens = _tokens(_flat(batch.column(2)))
+            order = np.lexsort((tokens, _frequency(tokens, sent.value)), axis=1)[:, :keep]
             picked = np.take_along_axis(tokens, order, 1).view(np.int64)
             again = lambda i: np.repeat(batch.column(i).to_numpy(), keep)
             yield pa.RecordBatch.from_arrays([pa.array(picked.ravel()), pa.array(again(0)), pa.array(again(1))], ["token", "node", "n"])
@@ -102,11 +113,11 @@ def _sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return docs.mapInArrow(released(each), "node long, shingles array<long>").where(F.size("shingles") > 0)
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Of (u, v), the pairs whose signatures and then full sets agree enough."""
     sig = lambda side: classes.select(F.col("node").alias(side), F.col("sig").alias(f"sig_{side}"))
     agree = F.aggregate(F.zip_with("sig_u", "sig_v", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
-    pairs = written(pairs.distinct().join(sig("u"), "u").join(sig("v"), "v").where(agree >= MATCHES).select("u", "v").distinct(), "pairs")
+    pairs = scratch.written(pairs.distinct().join(sig("u"), "u").join(sig("v"), "v").where(agree >= MATCHES).select("u", "v").distinct(), "pairs")
     sets = _sets_of(docs, pairs)
     full = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"set_{side}"))
     both = F.size(F.array_intersect("set_u", "set_v"))
@@ -150,13 +161,21 @@ def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 _TILE = 256
 
 
-def _merge_list(rows: list[tuple], one: int, two: int) -> list[tuple[int, int]]:
-    """Links that join components among the members (node, n, root, block, signature, set) of blocks ``one`` and ``two``."""
+def _merge_list(rows: list[tuple], token: int, one: int, two: int, counts: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join components among the members (node, n, root, block, signature, set) of blocks ``one`` and ``two`` of a token's list.
+
+    Pairs that share a token that comes before this one in the order of the prefixes are compared in its list.
+    """
     merged, out = _Merged(), []
+    own = np.array([token], np.int64).view(U)
+    often = _frequency(own, counts)[0]
     side = [[r for r in rows if r[3] == b] for b in (one, two)]
     for i in range(0, len(side[0]), _TILE):
         a = side[0][i : i + _TILE]
         sig_a, n_a = np.stack([r[4] for r in a]), np.array([len(r[5]) for r in a])
+        tokens = _tokens(sig_a)
+        before = _frequency(tokens, counts)
+        before = (before < often) | (before == often) & (tokens < own[0])
         for j in range(i if one == two else 0, len(side[1]), _TILE):
             b = side[1][j : j + _TILE]
             root_a, root_b = (np.array([merged.top(r[2]) for r in x]) for x in (a, b))
@@ -164,10 +183,13 @@ def _merge_list(rows: list[tuple], one: int, two: int) -> list[tuple[int, int]]:
             likely = (root_a[:, None] != root_b) & (4 * np.minimum(n_a[:, None], n_b) >= 3 * np.maximum(n_a[:, None], n_b))
             if not likely.any():
                 continue
-            sig_b, agree = np.stack([r[4] for r in b]), np.zeros(likely.shape, np.uint8)
+            sig_b, agree, elsewhere = np.stack([r[4] for r in b]), np.zeros(likely.shape, np.uint8), np.zeros(likely.shape, bool)
             for k in range(COORDINATES):
-                agree += sig_a[:, k, None] == sig_b[:, k]
-            likely &= agree >= MATCHES
+                same = sig_a[:, k, None] == sig_b[:, k]
+                agree += same
+                if before[:, k].any():
+                    elsewhere |= same & before[:, k, None]
+            likely &= (agree >= MATCHES) & ~elsewhere
             x, y = np.flatnonzero(likely.any(1)), np.flatnonzero(likely.any(0))
             if not len(x):
                 continue
@@ -180,7 +202,7 @@ def _merge_list(rows: list[tuple], one: int, two: int) -> list[tuple[int, int]]:
     return out
 
 
-def _merge_lists(open_: DataFrame, docs: DataFrame) -> DataFrame:
+def _merge_lists(open_: DataFrame, docs: DataFrame, sent) -> DataFrame:
     """(token, node, n, root, size, sig) -> links (u, v).  A member of a long list stands once for each pair of its block with another."""
     nodes = open_.select(F.col("node").alias("u"), F.col("node").alias("v"))
     sets = _sets_of(docs, nodes)
@@ -198,13 +220,13 @@ def _merge_lists(open_: DataFrame, docs: DataFrame) -> DataFrame:
             shingles, ends = batch.column(8).flatten().to_numpy(), np.concatenate(([0], np.cumsum(batch.column(8).value_lengths().to_numpy(zero_copy_only=False))))
             for i, key in enumerate(keys):
                 if key != last and held:
-                    links += _merge_list(held, last[1], last[2])
+                    links += _merge_list(held, *last, sent.value)
                     held = []
                 last = key
                 # copies: a batch's memory must not live as long as a list
                 held.append((*(x[i] for x in numbers_), sig[i].copy(), shingles[ends[i] : ends[i + 1]].copy()))
         if held:
-            links += _merge_list(held, last[1], last[2])
+            links += _merge_list(held, *last, sent.value)
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["u", "v"])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -212,23 +234,28 @@ def _merge_lists(open_: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _stars(links: DataFrame) -> DataFrame:
-    return written(components(links).select(F.col("node").alias("u"), F.col("root").alias("v")), "links")
+    return components(links).select(F.col("node").alias("u"), F.col("root").alias("v"))
 
 
-def _links(postings: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _links(classes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Star edges (u, v) of the components of linked classes."""
+    sent = _token_counts(classes)
+    postings = _postings(classes, sent)
     lists = postings.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("lead")).where("size > 1")
-    shared = written(postings.join(lists, "token").select("token", "node", "n", "size", "lead"), "shared")
+    # sums over tokens are written before rows are joined with them, so that a join can split a long list
+    lists = scratch.written(lists, "lists")
+    shared = scratch.written(postings.join(lists, "token").select("token", "node", "n", "size", "lead"), "shared")
     stars = shared.where(f"size > {SMALL} and node != lead.node and 4 * least(n, lead.n) >= 3 * greatest(n, lead.n)").select(F.col("lead.node").alias("u"), F.col("node").alias("v"))
     small = shared.where(f"size <= {SMALL}").select("token", "node", "n")
     small = small.alias("a").join(small.alias("b"), F.expr(f"a.token = b.token and a.node < b.node and {_FITS}")).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    links = _stars(_confirmed(stars.unionByName(small), classes, docs))
+    links = _stars(_confirmed(stars.unionByName(small), classes, docs, scratch))
     own = shared.where(f"size > {SMALL}").select("token", "node", "n", "size").join(links.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = own.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("token")
-    open_ = written(own.join(split, "token").join(classes.select("node", "sig"), "node"), "open")
+    own = scratch.written(own, "members")
+    split = scratch.written(own.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("token"), "split")
+    open_ = scratch.written(own.join(split, "token").join(classes.select("node", "sig"), "node"), "open")
     if open_.isEmpty():
         return links
-    return _stars(_merge_lists(open_, docs).unionByName(links))
+    return _stars(scratch.written(_merge_lists(open_, docs, sent).unionByName(links), "links"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -238,7 +265,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = written(texts.mapInArrow(released(_sketches), "doc_id long, n long, h1 long, h2 long, sig array<int>"), "sketches")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"), F.min_by("sig", "doc_id").alias("sig"))
     classes = written(classes, "classes")
-    links = _links(_postings(classes), classes, named)
+    with Scratch(docs.sparkSession) as scratch:
+        links = _links(classes, named, scratch)
     roots = classes.select("h1", "h2", "n", "node").join(links.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
     roots = roots.select("h1", "h2", "n", F.coalesce("root", "node").alias("root"))
     found = rows.select("doc_id", "n", "h1", "h2").join(roots, ["h1", "h2", "n"], "left")
