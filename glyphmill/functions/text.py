@@ -22,16 +22,25 @@ LIST_MARKERS = (
 LIST_STARTS = (r"^[-•·]\s", r"^\d+[.)]\s", r"^[a-z][.)]\s", r"^[ivxIVX]+[.)]\s")
 
 
+#: Control characters that are dropped, and blanks that are trimmed: at edges, inside brackets and quotes, before punctuation.
+CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
+EDGE_BLANKS = r"^[ \t]{2,}|[ \t]{2,}$"
+TIDY = (
+    ("([(\\[{‘“\"'])\\s{2,}", "$1"),
+    ("\\s{2,}([)\\]}’”\"'])", "$1"),
+    (r"\s{2,}([,.;:!?])", "$1"),
+)
+
+
 def chain(c: Column, *steps: tuple[str, str]) -> Column:
     return reduce(lambda a, s: F.regexp_replace(a, *s), steps, c)
 
 
 def sanitize(c: Column) -> Column:
     """Drops control characters; apart from URLs, trims two or more edge blanks and blanks inside brackets and before punctuation."""
-    out = F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]", "")
-    trimmed = F.regexp_replace(F.regexp_replace(out, r"^[ \t]+", ""), r"[ \t]+$", "")
-    edged = F.when(out.rlike(r"^[ \t]{2,}|[ \t]{2,}$") & (trimmed != ""), trimmed).otherwise(out)
-    tidy = chain(edged, ("([(\\[{‘“\"'])\\s{2,}", "$1"), ("\\s{2,}([)\\]}’”\"'])", "$1"), (r"\s{2,}([,.;:!?])", "$1"))
+    out = F.regexp_replace(c, CONTROLS, "")
+    bare = F.trim(out, F.lit(" \t"))
+    tidy = chain(F.when(out.rlike(EDGE_BLANKS) & (bare != ""), bare).otherwise(out), *TIDY)
     return F.when(out.rlike(URL), out).otherwise(tidy)
 
 
@@ -46,6 +55,15 @@ RESPACE_SIGNS = (
 )
 CONNECTORS = "to|with|for|and|of|at|in|on|as"
 KEPT_APART = ("if", "to", "for", "with", "and", "of", "in", "on", "at", "as", "or", "an", "a", "the", "be", "we", "us", "my", "me", "do", "no")
+#: Places where a space is missing or too many, in the order in which they are mended.
+RESPACING = (
+    (rf"\b({CONNECTORS})([A-Z][a-z])", "$1 $2"),
+    (r"([A-Za-z]{4,})\s+([a-z]{1,2})\b", "$1$2"),
+    (r"\b([A-Z]{2,3})([0-9]{2,4})\b", "$1 $2"),
+    (rf"([A-Za-z]{{4,}})({CONNECTORS})(?=[A-Z][a-z])", "$1 $2"),
+    (r"([a-z]{4,})([A-Z][a-z])", "$1 $2"),
+    (r"([A-Z][a-z]{2,})([A-Z][a-z]{2,})", "$1 $2"),
+)
 #: Possessive, as Java's other loops over groups recurse once a round.
 _FRAGMENTS = r"\b(?:[a-z]{1,3}\s+(?=[a-z]{1,3}\b))++[a-z]{1,3}\b"
 
@@ -63,15 +81,7 @@ def join_fragments(c: Column) -> Column:
 def respace(c: Column) -> Column:
     """Spacing of text whose words run together or fall apart."""
     clean = sanitize(c)
-    out = chain(
-        clean,
-        (rf"\b({CONNECTORS})([A-Z][a-z])", "$1 $2"),
-        (r"([A-Za-z]{4,})\s+([a-z]{1,2})\b", "$1$2"),
-        (r"\b([A-Z]{2,3})([0-9]{2,4})\b", "$1 $2"),
-        (rf"([A-Za-z]{{4,}})({CONNECTORS})(?=[A-Z][a-z])", "$1 $2"),
-        (r"([a-z]{4,})([A-Z][a-z])", "$1 $2"),
-        (r"([A-Z][a-z]{2,})([A-Z][a-z]{2,})", "$1 $2"),
-    )
+    out = chain(clean, *RESPACING)
     out = F.regexp_replace(join_fragments(out), r"\s{2,}", " ")
     return F.when(clean.rlike("|".join(RESPACE_SIGNS)), out).otherwise(clean)
 
@@ -139,6 +149,7 @@ SCRIPTS = {
     "hebrew": "\\u0590-\\u05FF\\uFB1D-\\uFB4F",
     "devanagari": "\\u0900-\\u097F",
 }
+#: Characters of scripts written from right to left.
 RIGHT_TO_LEFT = "[\\u0590-\\u05FF\\u0600-\\u06FF\\u0700-\\u074F\\u0750-\\u077F\\u08A0-\\u08FF\\uFB50-\\uFDFF\\uFE70-\\uFEFF]"
 
 

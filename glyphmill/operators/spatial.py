@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import box, box_distance, centre_distance, intersection_area, overlap_ratio
 from .layout import PAGE, covered_length
 
-BAND = 48.0
+BAND, CELL = 48.0, 96.0
 
 
 def in_bands(rows: DataFrame, top: Column, bottom: Column, height: float = BAND) -> DataFrame:
@@ -90,9 +90,12 @@ def overlaps(items: DataFrame, least: float = 0.1) -> DataFrame:
     """Pairs of items of a page (by item_no) whose boxes share at least ``least`` of the smaller one."""
     boxed = items.select(*PAGE, "item_no", box(F.col("x"), F.col("y"), F.col("width"), F.col("height")).alias("box"))
     cut = in_bands(boxed, F.col("box.top"), F.col("box.top") + F.col("box.height"))
-    met = cut.alias("a").join(cut.alias("b"), [*PAGE, "band"]).where("a.item_no < b.item_no")
-    # a pair that meets in several bands counts in the first
+    across = lambda x: F.floor(x / CELL)
+    cut = cut.withColumn("cell", F.explode(F.sequence(across(F.col("box.left")), across(F.col("box.left") + F.col("box.width")))))
+    met = cut.alias("a").join(cut.alias("b"), [*PAGE, "band", "cell"]).where("a.item_no < b.item_no")
+    # a pair that meets in several bands or cells counts in the first
     met = met.where(F.col("band") == F.greatest(F.floor(F.col("a.box.top") / BAND), F.floor(F.col("b.box.top") / BAND)))
+    met = met.where(F.col("cell") == F.greatest(across(F.col("a.box.left")), across(F.col("b.box.left"))))
     ratio = overlap_ratio(F.col("a.box"), F.col("b.box"))
     return met.select(*PAGE, F.col("a.item_no").alias("first"), F.col("b.item_no").alias("second"), ratio.alias("ratio")).where(F.col("ratio") >= least)
 

@@ -13,7 +13,7 @@ from .layout import lines_and_words, words_of
 
 
 def _pages_and_images(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pages of the typeset documents, and images on some of them by page and document number."""
+    """Pages of the typeset documents, and images on some of them by page and document number; every tenth document has images as large as its pages, as scans have."""
     pages = words.select("doc_id", "page_no").distinct().select("doc_id", "page_no", F.lit(PAGE_WIDTH).alias("width"), F.lit(PAGE_HEIGHT).alias("height"))
     n = F.when(F.col("doc_id") % 5 == 0, 1).when(F.col("doc_id") % 7 == 0, 7).when((F.col("doc_id") + F.col("page_no")) % 3 == 0, 2).otherwise(0)
     images = pages.withColumn("n", n).where("n > 0").select("doc_id", "page_no", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("seq"))
@@ -21,15 +21,10 @@ def _pages_and_images(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pages, images.select("doc_id", "page_no", "seq", F.when(full, 0.0).otherwise(F.col("seq") * 20.0).alias("x"), F.when(full, 0.0).otherwise(30.0).alias("y"), F.when(full, 600.0).otherwise(100.0).alias("width"), F.when(full, 780.0).otherwise(80.0).alias("height"))
 
 
-def _texts(words: DataFrame) -> DataFrame:
-    """Scans (every tenth document) show only their first word."""
-    return words.where("doc_id % 10 != 0 or (line_no = 0 and word_no = 0)")
-
-
 def _figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = words_of(spark, sf_dir)
     pages, images = _pages_and_images(words)
-    return D.page_figures(pages, _texts(words), images)
+    return D.page_figures(pages, words, images)
 
 
 def scan_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +118,7 @@ im0 AS (SELECT doc_id, page_no, CASE WHEN doc_id % 5 = 0 THEN 1 WHEN doc_id % 7
 im AS (
   SELECT doc_id, page_no, seq, CASE WHEN doc_id % 10 = 0 THEN 0.0 ELSE seq * 20.0 END AS x, CASE WHEN doc_id % 10 = 0 THEN 0.0 ELSE 30.0 END AS y, CASE WHEN doc_id % 10 = 0 THEN 600.0 ELSE 100.0 END AS width, CASE WHEN doc_id % 10 = 0 THEN 780.0 ELSE 80.0 END AS height
   FROM (SELECT doc_id, page_no, unnest(range(1, n + 1)) AS seq FROM im0)),
-tx AS (SELECT doc_id, page_no, sum(length(text)) AS text_length, count(*) AS items FROM words WHERE doc_id % 10 <> 0 OR (line_no = 0 AND word_no = 0) GROUP BY doc_id, page_no),
+tx AS (SELECT doc_id, page_no, sum(length(text)) AS text_length, count(*) AS items FROM words GROUP BY doc_id, page_no),
 ia AS (SELECT doc_id, page_no, count(*) AS images, sum(width * height) AS image_area FROM im GROUP BY doc_id, page_no),
 fg AS (
   SELECT pg.doc_id, pg.page_no, coalesce(text_length, 0) AS text_length, coalesce(items, 0) AS items, coalesce(images, 0) AS images, coalesce(image_area, 0.0) AS image_area

@@ -52,8 +52,8 @@ def region_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rules(words: DataFrame) -> DataFrame:
-    """Rules under words: short ones under single words, some that run on far beyond, some too thick."""
-    w = words.where("(line_no + word_no) % 13 = 0")
+    """A rule under each line: short ones under its first word, some that run on far beyond, some too thick."""
+    w = words.where("word_no = 0")
     n = F.col("line_no") + F.col("word_no")
     return w.select(
         "doc_id", "page_no", (F.col("line_no").cast("long") * 100_000 + F.col("word_no")).alias("seq"), (F.col("x") - 1).alias("x"), (PAGE_HEIGHT - F.col("y") + F.when(n % 3 == 0, 9.0).otherwise(1.0)).alias("y"),
@@ -86,9 +86,9 @@ def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def style_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fortieth word of a page is a sample for the words around."""
+    """The first word of each line is a sample for the words around."""
     items = _items(words_of(spark, sf_dir))
-    samples = _items(words_of(spark, sf_dir)).where("item_no % 40 = 1").select("doc_id", "page_no", F.col("item_no").alias("sample_no"), F.col("font_family").alias("style"), "text", "x", "y", "width", "height")
+    samples = _items(words_of(spark, sf_dir).where("word_no = 0")).select("doc_id", "page_no", F.col("item_no").alias("sample_no"), F.col("font_family").alias("style"), "text", "x", "y", "width", "height")
     found = S.style_matches(items, samples)
     return found.select("doc_id", "page_no", "item_no", "sample_no", "style", F.round("score", 9).alias("score"))
 
@@ -139,7 +139,7 @@ ov AS (
 _RULES = """,
 ru AS (
   SELECT doc_id, page_no, CAST(line_no AS BIGINT) * 100000 + word_no AS seq, x - 1 AS r0, 792.0 - y + CASE WHEN (line_no + word_no) % 3 = 0 THEN 9.0 ELSE 1.0 END AS y,
-    width + CASE (line_no + word_no) % 5 WHEN 0 THEN 320.0 WHEN 1 THEN 30.0 ELSE 2.0 END AS rw, CASE WHEN (line_no + word_no) % 7 = 0 THEN 8.0 ELSE 0.5 END AS h FROM words WHERE (line_no + word_no) % 13 = 0),
+    width + CASE (line_no + word_no) % 5 WHEN 0 THEN 320.0 WHEN 1 THEN 30.0 ELSE 2.0 END AS rw, CASE WHEN (line_no + word_no) % 7 = 0 THEN 8.0 ELSE 0.5 END AS h FROM words WHERE word_no = 0),
 rk AS (SELECT *, r0 + rw AS r1, y + h / 2 AS ry FROM ru WHERE rw >= 2.0 AND greatest(h, 0.5) <= 6.5 AND rw / greatest(0.35, greatest(h, 0.5)) >= 8),
 mt AS (
   SELECT rk.doc_id, rk.page_no, seq, rw, line_no, word_no, x AS t0, x + width AS t1, greatest(r0, x) AS s0, least(r1, x + width) AS s1
@@ -154,7 +154,7 @@ us AS (
   WHERE NOT (rw >= 612.0 * 0.25 AND rw / span >= 1.8) AND NOT (rw >= 612.0 * 0.45 AND covered / greatest(1.0, rw) < 0.5 AND covered / span < 0.65))
 """
 _ITEMS = """,
-it AS (SELECT doc_id, page_no, CAST(line_no AS BIGINT) * 100000 + word_no AS item_no, text, x - CASE WHEN (line_no + word_no) % 6 = 0 THEN 8.0 ELSE 0.0 END AS x, y, width, height, font_family FROM words)
+it AS (SELECT doc_id, page_no, word_no, CAST(line_no AS BIGINT) * 100000 + word_no AS item_no, text, x - CASE WHEN (line_no + word_no) % 6 = 0 THEN 8.0 ELSE 0.0 END AS x, y, width, height, font_family FROM words)
 """
 ORACLES = {
     "obstacle_overlap": _OBSTACLES
@@ -182,10 +182,12 @@ SELECT pg.doc_id, pg.page_no, coalesce(underlined, 0) AS underlined, coalesce(ru
     "overlap_pairs": WORDS_SQL
     + _ITEMS
     + """,
+bn AS (SELECT *, unnest(range(CAST(floor(y / 50) AS BIGINT), CAST(floor((y + height) / 50) AS BIGINT) + 1)) AS band FROM it),
+cl AS (SELECT *, unnest(range(CAST(floor(x / 50) AS BIGINT), CAST(floor((x + width) / 50) AS BIGINT) + 1)) AS cell FROM bn),
 pr AS (
-  SELECT a.doc_id, a.page_no, a.item_no AS first, b.item_no AS second,
+  SELECT DISTINCT a.doc_id, a.page_no, a.item_no AS first, b.item_no AS second,
     greatest(0.0, least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x)) * greatest(0.0, least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y)) / least(a.width * a.height, b.width * b.height) AS ratio
-  FROM it a JOIN it b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.item_no < b.item_no AND a.y + a.height > b.y AND b.y + b.height > a.y AND a.x + a.width > b.x AND b.x + b.width > a.x)
+  FROM cl a JOIN cl b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.band = b.band AND a.cell = b.cell AND a.item_no < b.item_no AND a.y + a.height > b.y AND b.y + b.height > a.y AND a.x + a.width > b.x AND b.x + b.width > a.x)
 SELECT doc_id, page_no, first, second, round(ratio, 9) AS ratio FROM pr WHERE ratio >= 0.1
 """,
     "style_transfer": WORDS_SQL
@@ -194,7 +196,7 @@ SELECT doc_id, page_no, first, second, round(ratio, 9) AS ratio FROM pr WHERE ra
 sc AS (
   SELECT a.doc_id, a.page_no, a.item_no, b.item_no AS sample_no, b.font_family AS style,
     greatest(0.0, 1 - sqrt(power(a.x + a.width / 2 - (b.x + b.width / 2), 2) + power(a.y + a.height / 2 - (b.y + b.height / 2), 2)) / 50.0) * 0.8 + CAST(least(length(a.text), length(b.text)) AS DOUBLE) / greatest(length(a.text), length(b.text), 1) * 0.2 AS score
-  FROM it a JOIN it b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND b.item_no % 40 = 1),
+  FROM it a JOIN it b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND b.word_no = 0),
 rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, item_no ORDER BY score DESC, sample_no) AS r FROM sc WHERE score > 0.5)
 SELECT doc_id, page_no, item_no, sample_no, style, round(score, 9) AS score FROM rk WHERE r = 1
 """,

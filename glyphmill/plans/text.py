@@ -30,10 +30,10 @@ def sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def respace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of neighbouring words run together in several ways."""
+    """Whole lines, with words run together, torn apart and mixed with numbers before and after them."""
     line = F.split("line", " ")
-    a, b = F.coalesce(F.get(line, F.lit(0)), F.lit("")), F.coalesce(F.get(line, F.lit(1)), F.lit(""))
-    raw = F.when(F.col("line_no") % 4 == 0, F.concat(F.lower(a), F.initcap(b), F.lit(" AB123"))).when(F.col("line_no") % 4 == 1, F.concat(F.lit("Number ab c def of "), a)).when(F.col("line_no") % 4 == 2, F.concat(F.lit("toParis "), a, F.lit(" ZRH 815"))).otherwise(F.col("line"))
+    a, b, n = F.coalesce(F.get(line, F.lit(0)), F.lit("")), F.coalesce(F.get(line, F.lit(1)), F.lit("")), F.col("line_no") % 4
+    raw = F.when(n == 0, F.concat(F.lower(a), F.initcap(b), F.lit(" AB123 "), "line")).when(n == 1, F.concat(F.lit("Number ab c def of "), "line")).when(n == 2, F.concat(F.lit("toParis "), "line", F.lit(" ZRH 815"))).otherwise(F.col("line"))
     return _lines(spark, sf_dir).select("doc_id", "line_no", F.md5(X.respace(raw)).alias("spaced_md5"))
 
 
@@ -75,30 +75,33 @@ def pair_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("text", "n", F.round(W.word_likelihood(F.col("text")), 9).alias("likelihood"), W.ends_with_suffix(F.col("text")).alias("suffix"), W.has_valid_pattern(F.col("text")).alias("valid"))
 
 
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of neighbouring words of all lines with their number in the line."""
+    lines = _lines(spark, sf_dir).select(F.split("line", " ").alias("w"))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.struct(F.get("w", i).alias("a"), F.get("w", i + 1).alias("b"), i.alias("i")))
+    return lines.where("size(w) >= 2").select(F.explode(pairs).alias("p")).select("p.*").where("a <> '' and b <> ''")
+
+
 def predicted_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir).select(F.split("line", " ").alias("w"), "line_no", "doc_id").where("size(w) >= 2")
-    a, b = F.get("w", F.lit(0)), F.get("w", F.lit(1))
-    gap = (F.col("line_no") % 9) / 5.0 - 0.2
-    p = W.predict_break(a, F.substring(b, 1, 1), gap)
-    rows = lines.where((a != "") & (b != "")).select("doc_id", "line_no", p.alias("p"), (F.round(W.join_gain(F.substring(a, 1, 12), F.substring(b, 1, 12)), 9) + 0.0).alias("gain"))
-    return rows.select("doc_id", "line_no", "p.breaks", F.round("p.confidence", 9).alias("confidence"), "p.reason", "gain")
+    """Whether a word ends between neighbours, for gaps that follow from their place in the line; equal cases are judged once."""
+    rows = _neighbours(spark, sf_dir).groupBy("a", "b", (F.col("i") % 9).alias("step")).agg(F.count("*").alias("n"))
+    a, b = F.col("a"), F.col("b")
+    p = W.predict_break(a, F.substring(b, 1, 1), F.col("step") / 5.0 - 0.2)
+    rows = rows.select("a", "b", "step", "n", p.alias("p"), (F.round(W.join_gain(F.substring(a, 1, 12), F.substring(b, 1, 12)), 9) + 0.0).alias("gain"))
+    return rows.groupBy("a", "b", "gain", "p.breaks", F.round("p.confidence", 9).alias("confidence"), "p.reason").agg(F.sum("n").alias("n"))
 
 
 def split_merged_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring words glued together and cut again by a dictionary of the corpus."""
-    words = words_of(spark, sf_dir)
-    dictionary = W.frequent_words(words)
-    lines = _lines(spark, sf_dir).select(F.split("line", " ").alias("w")).where("size(w) >= 4")
-    tokens = lines.select(F.concat(F.get("w", F.lit(1)), F.get("w", F.lit(2))).alias("token"))
-    fixed = W.split_merged(tokens, dictionary)
-    return fixed.groupBy("token", "fixed").agg(F.count("*").alias("n"))
+    """All neighbouring words glued together and cut again by a dictionary of the corpus."""
+    dictionary = W.frequent_words(words_of(spark, sf_dir))
+    tokens = _neighbours(spark, sf_dir).groupBy(F.concat("a", "b").alias("token")).agg(F.count("*").alias("n"))
+    return W.split_merged(tokens, dictionary).select("token", "fixed", "n")
 
 
 def join_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = words_of(spark, sf_dir)
-    dictionary = W.frequent_words(words)
-    lines = _lines(spark, sf_dir).select(F.split("line", " ").alias("w")).where("size(w) >= 3")
-    pairs = lines.select(F.lower(F.substring(F.get("w", F.lit(1)), 1, 3)).alias("l"), F.lower(F.substring(F.get("w", F.lit(2)), 1, 3)).alias("r")).where("l rlike '^[a-z]+$' and r rlike '^[a-z]+$'").groupBy("l", "r").agg(F.count("*").alias("n"))
+    """All neighbouring words of letters only."""
+    dictionary = W.frequent_words(words_of(spark, sf_dir))
+    pairs = _neighbours(spark, sf_dir).select(F.lower("a").alias("l"), F.lower("b").alias("r")).where("l rlike '^[a-z]+$' and r rlike '^[a-z]+$'").groupBy("l", "r").agg(F.count("*").alias("n"))
     return W.join_score(pairs, dictionary)
 
 
@@ -118,7 +121,7 @@ _LINES = """
 WITH l AS (
   SELECT * FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(unnest(range(len(string_split(text, chr(10))))) AS INTEGER) AS line_no FROM documents) WHERE line <> '')
 """
-_PAIRS = "CASE lower({p}) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in W._pairs().items()) + " ELSE 0.4 END"
+_PAIRS = "CASE lower({p}) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in W.PAIR_SCORES.items()) + " ELSE 0.4 END"
 _SUFFIX = ".(" + "|".join(W.SUFFIXES) + ")$"
 
 
@@ -139,6 +142,11 @@ def _replace(c: str, *steps: tuple[str, str]) -> str:
 
 
 _TIDY = _replace("edged", ("([(\\[{‘“\"'])\\s{2,}", "\\1"), ("\\s{2,}([)\\]}’”\"'])", "\\1"), (r"\s{2,}([,.;:!?])", "\\1"))
+_NEIGHBOURS = """,
+ws AS (SELECT string_split(line, ' ') AS w FROM l WHERE len(string_split(line, ' ')) >= 2),
+ix AS (SELECT w, unnest(range(1, len(w))) AS i FROM ws),
+nb AS (SELECT w[i] AS a, w[i + 1] AS b, i - 1 AS i FROM ix WHERE w[i] <> '' AND w[i + 1] <> '')
+"""
 _DICTIONARY = """,
 dict AS (SELECT w AS word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM words) GROUP BY w HAVING count(*) >= 20)
 """
@@ -207,9 +215,10 @@ SELECT text, n, round({_likelihood("text")}, 9) AS likelihood, regexp_matches(lo
 FROM w
 """,
     "predicted_breaks": _LINES
+    + _NEIGHBOURS
     + f""",
-p AS (SELECT doc_id, line_no, string_split(line, ' ')[1] AS a, string_split(line, ' ')[2] AS b, (line_no % 9) / 5.0 - 0.2 AS gap FROM l WHERE len(string_split(line, ' ')) >= 2),
-c AS (SELECT *, right(a, 1) AS x, left(b, 1) AS y, left(a, 12) AS la, left(b, 12) AS rb FROM p WHERE a <> '' AND b <> ''),
+p AS (SELECT a, b, i % 9 AS step, (i % 9) / 5.0 - 0.2 AS gap, count(*) AS n FROM nb GROUP BY a, b, i % 9),
+c AS (SELECT *, right(a, 1) AS x, left(b, 1) AS y, left(a, 12) AS la, left(b, 12) AS rb FROM p),
 s AS (SELECT *, regexp_matches(x, '[a-z]') AND regexp_matches(y, '[A-Z]') AS cs, {_PAIRS.format(p="x || y")} AS pair FROM c),
 k AS (SELECT *, gap * 0.6 + (1 - pair) * 0.4 AS score FROM s),
 f AS (
@@ -217,30 +226,37 @@ f AS (
     WHEN cs AND NOT regexp_matches(lower(a), '^({"|".join(W.PREFIXES)})') AND lower(a) NOT IN ('i', 'e') THEN 3
     WHEN length(a) >= 2 AND cs AND (regexp_matches(lower(a), '(son|ton|man|ley|ell|ard|old|ohn|ick|ert|ark|ane|ine|ice|ace)$') OR length(a) >= 3) THEN 4
     WHEN length(a) >= 4 AND regexp_matches(lower(a), '{_SUFFIX}') AND gap >= 0.3 THEN 5 ELSE 6 END AS w,
-    regexp_matches(right(la, 1), '[a-z]') AND regexp_matches(left(rb, 1), '[A-Z]') AS cs2 FROM k)
-SELECT doc_id, line_no, CASE w WHEN 0 THEN false WHEN 2 THEN false WHEN 6 THEN score >= 0.45 ELSE true END AS breaks,
+    regexp_matches(right(la, 1), '[a-z]') AND regexp_matches(left(rb, 1), '[A-Z]') AS cs2 FROM k),
+j AS (SELECT a, b, n, CASE w WHEN 0 THEN false WHEN 2 THEN false WHEN 6 THEN score >= 0.45 ELSE true END AS breaks,
   round(CAST(CASE w WHEN 0 THEN 1.0 WHEN 1 THEN 0.95 WHEN 2 THEN 0.95 WHEN 3 THEN 0.85 WHEN 4 THEN 0.8 WHEN 5 THEN 0.75 ELSE least(0.9, 0.5 + (CASE WHEN score >= 0.45 THEN score ELSE 1 - score END) * 0.4) END AS DOUBLE), 9) AS confidence,
   CASE w WHEN 0 THEN 'geometric' WHEN 1 THEN 'geometric' WHEN 2 THEN 'geometric' WHEN 3 THEN 'capitalization' WHEN 4 THEN 'pattern' WHEN 5 THEN 'linguistic'
     ELSE CASE WHEN (score >= 0.45 AND pair < 0.5) OR (score < 0.45 AND pair >= 0.5) THEN 'linguistic' ELSE 'geometric' END END AS reason,
   round({_likelihood("(la || rb)")} + CASE WHEN regexp_matches(lower(la || rb), '{_SUFFIX}') THEN 0.1 ELSE 0.0 END - CASE WHEN cs2 THEN 0.3 ELSE 0.0 END - ({_likelihood("la")} + {_likelihood("rb")}) / 2, 9) + 0.0 AS gain
-FROM f
+FROM f)
+SELECT a, b, gain, breaks, confidence, reason, CAST(sum(n) AS BIGINT) AS n FROM j GROUP BY a, b, gain, breaks, confidence, reason
 """,
     "split_merged_words": WORDS_SQL
     + _DICTIONARY
     + """,
-l AS (SELECT string_split(line, ' ') AS w FROM raw_lines WHERE line <> '' AND len(string_split(line, ' ')) >= 4),
-t AS (SELECT w[2] || w[3] AS token, count(*) AS n FROM l GROUP BY w[2] || w[3]),
+l AS (SELECT line FROM raw_lines WHERE line <> '')
+"""
+    + _NEIGHBOURS
+    + """,
+t AS (SELECT a || b AS token, count(*) AS n FROM nb GROUP BY a || b),
 u AS (SELECT token FROM t WHERE regexp_matches(token, '^[A-Za-z]{6,}$') AND lower(token) NOT IN (SELECT word FROM dict)),
 c AS (SELECT token, unnest(range(3, length(token) - 2)) AS cut FROM u),
-b AS (SELECT token, max(cut) AS cut FROM c JOIN dict l ON lower(substr(token, 1, cut)) = l.word JOIN dict r ON lower(substr(token, cut + 1)) = r.word GROUP BY token)
+b AS (SELECT token, max(cut) AS cut FROM c JOIN dict x ON lower(substr(token, 1, cut)) = x.word JOIN dict y ON lower(substr(token, cut + 1)) = y.word GROUP BY token)
 SELECT t.token, CASE WHEN cut IS NULL THEN t.token ELSE substr(t.token, 1, cut) || ' ' || substr(t.token, cut + 1) END AS fixed, n FROM t LEFT JOIN b ON t.token = b.token
 """,
     "join_scores": WORDS_SQL
     + _DICTIONARY
     + """,
 s AS (SELECT DISTINCT substr(word, 1, i) AS p FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM dict)),
-l AS (SELECT string_split(line, ' ') AS w FROM raw_lines WHERE line <> '' AND len(string_split(line, ' ')) >= 3),
-q AS (SELECT lower(substr(w[2], 1, 3)) AS l, lower(substr(w[3], 1, 3)) AS r, count(*) AS n FROM l GROUP BY 1, 2),
+l AS (SELECT line FROM raw_lines WHERE line <> '')
+"""
+    + _NEIGHBOURS
+    + """,
+q AS (SELECT lower(a) AS l, lower(b) AS r, count(*) AS n FROM nb GROUP BY 1, 2),
 k AS (SELECT * FROM q WHERE regexp_matches(l, '^[a-z]+$') AND regexp_matches(r, '^[a-z]+$'))
 SELECT l, r, n, CAST(CASE WHEN l || r IN (SELECT word FROM dict) THEN 0.95 WHEN l || r IN (SELECT p FROM s) THEN 0.7 WHEN l IN (SELECT word FROM dict) AND r IN (SELECT p FROM s) THEN 0.3
   WHEN length(l || r) >= 2 AND (regexp_matches(l || r, '^[bcdfghjklmnpqrstvwxyz]{4,}') OR regexp_matches(l || r, '[aeiou]{4,}') OR regexp_matches(l || r, '[bcdfghjklmnpqrstvwxyz]{5,}')) THEN 0.2 ELSE 0.4 END AS DOUBLE) AS score
