@@ -96,6 +96,18 @@ def shingle_sets(texts: list[bytes], size: int = 5) -> Iterator[np.ndarray]:
                 yield np.zeros(0, U)
 
 
+def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """For each text the 64-bit hashes of its words ([^\\x20\\x09-\\x0D]+, A-Z lowered), in order."""
+    for a, b in chunks(texts):
+        part = [t.translate(_LOWER) for t in texts[a:b]]
+        raw = np.frombuffer(b" ".join(part) + b" ", np.uint8)
+        edge = np.diff(np.concatenate(([1], _SPACE[raw].view(np.int8))))
+        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        hashes = span_hashes(raw, starts, ends)
+        first = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in part]))
+        yield from (hashes[lo:hi] for lo, hi in zip(first[:-1], first[1:], strict=True))
+
+
 def binary(column: pa.Array) -> list[bytes]:
     """UTF-8 of a string column; null is empty."""
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]

@@ -6,7 +6,7 @@ from glyphmill.llm import repeats as r
 
 
 def corpus(rng, window):
-    say = lambda n, a="abcdefghij é🙂": "".join(rng.choice(a) for _ in range(n))
+    say = lambda n, a="abcdefghij  é🙂": "".join(rng.choice(a) for _ in range(n))
     shared = [say(rng.choice([window - 1, window, window + 1, 3 * window, 10 * window])) for _ in range(8)]
     docs = []
     for _ in range(60):
@@ -26,14 +26,15 @@ def run(spark, rows, **more):
 
 
 def test_against_brute_force(spark):
-    for seed, window in ((1, 20), (2, 50)):
+    for seed, window, passage in ((1, 20, 3), (2, 50, 7)):
         rows = corpus(random.Random(seed), window)
-        assert run(spark, rows, window=window) == sorted(r.brute_force(rows, window), key=str)
+        want = r.brute_force(rows, window, passage)
+        assert run(spark, rows, window=window, passage=passage) == sorted(want, key=str) and any(w[5] for w in want)
 
 
 def test_large_buckets_give_the_same(spark):
     rows = corpus(random.Random(4), 20)
-    assert run(spark, rows, window=20, bucket=2) == sorted(r.brute_force(rows, 20), key=str)
+    assert run(spark, rows, window=20, passage=3, bucket=2) == sorted(r.brute_force(rows, 20, 3), key=str)
 
 
 def test_long_text_in_pieces(spark):
@@ -46,5 +47,15 @@ def test_long_text_in_pieces(spark):
     assert [(g[0], g[1], g[2], g[3]) for g in got] == [(1, len(text), 3000, 1), (2, 3001, 3000, 1)]
 
 
+def test_passages_of_other_documents_only(spark):
+    rng = random.Random(6)
+    say = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    passage, own = say(51), say(60)
+    rows = [(1, " ".join(say(30) + passage + say(9))), (2, "\n".join(say(5) + passage).upper()), (3, " ".join(say(9) + passage[:50])), (4, " ".join(own + say(70) + own))]
+    rows += [(5, " ".join(own[:50] + say(3))), (6, rows[0][1]), (6, rows[0][1])]
+    got = {g[0]: g[5] for g in run(spark, rows)}
+    assert got == {1: 90, 2: 51, 3: 0, 4: 0, 5: 0, 6: 90}
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
