@@ -40,7 +40,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.digest(mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
+    return mixing.digest(mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels")))
 
 
 def op9_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

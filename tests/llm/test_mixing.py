@@ -45,5 +45,25 @@ def test_targets_and_taken(spark):
         assert abs(taken[k] - want[k]) <= most[k] + 1e-6
 
 
+def test_learned_weights_decide_the_fractional_epoch(spark):
+    """Of two kinds of documents, those whose labels are good are drawn first by far; SQL gives the same rows."""
+    import duckdb
+    import pandas as pd
+
+    rows = [(i, ("1 2 3 4 % " if i % 2 else "plain words of a text ") * (2 + i % 5), "ab"[i % 4 // 2]) for i in range(4000)] + [(None, None, None), (4001, "", "a")]
+    labels = [(i, int(i % 2 == 0)) for i in range(0, 4000, 3)] + [(3, None), (None, 1), (99999, 1), (6, 1)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string, source string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = m.digest(m.mix(docs, known)).collect()
+    some = [r for r in got if r.source_size and 0 < r.target % r.source_size]
+    whole = lambda r: int(r.target // r.source_size) * r.size
+    part = {k: sum(r.taken > whole(r) for r in some if r.size and r.doc_id is not None and r.doc_id % 2 == k) for k in (0, 1)}
+    assert part[0] > 3 * part[1]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"}))
+    con.register("labels", pd.DataFrame(labels, columns=["doc_id", "quality"]).astype("Int64"))
+    key = lambda x: tuple("null" if v is None else f"{v:.9g}" for v in x)
+    assert sorted(map(key, got)) == sorted(map(key, con.sql(m.ORACLE).fetchall()))
+
+
 def test_empty_table(spark):
     assert m.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
