@@ -67,6 +67,9 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.paths[-1])
 
     def __exit__(self, *_) -> None:
+        self.drop()
+
+    def drop(self) -> None:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         while self.paths:
             path = jvm.org.apache.hadoop.fs.Path(self.paths.pop())

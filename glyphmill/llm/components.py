@@ -34,7 +34,7 @@ def components(edges: DataFrame, tag: str = "stars") -> DataFrame:
         now = Scratch(edges.sparkSession)
         edges = now.written(_small(_large(edges)).distinct(), tag)
         if before:
-            before.__exit__()
+            before.drop()
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
