@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm import decontaminate, minhash, mixing, quality, secrets
-from glyphmill.llm.common import table, written
+from glyphmill.llm.common import Scratch, table
 
 #: Columns that all stages but the last pass on.
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -35,7 +35,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with their size and the words taken of them."""
-    return mixing.mix(docs).where("taken > 0").select(*DOCUMENT, "size", "source_size", "target", "taken")
+    return mixing.mix(docs, table(spark, sf_dir, "labels")).where("taken > 0").select(*DOCUMENT, "size", "source_size", "target", "taken")
 
 
 STAGES = [
@@ -51,9 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; a stage's table goes when the next one's is written."""
+    docs, before = table(spark, sf_dir, "documents"), Scratch(spark)
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = written(docs, f"stage{i}")
+            now = Scratch(spark)
+            docs = now.written(docs, f"stage{i}")
+            before.drop()
+            before = now
     return docs
