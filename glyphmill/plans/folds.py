@@ -1,4 +1,4 @@
-"""Queries of the folds; SQL cannot express most of them, so they are tested against plain loops and by what they must keep."""
+"""Queries of the folds.  Where a page has few steps SQL walks them by recursion; the others are tested by what they must keep."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from ..operators import folds as O
 from ..operators import layout as L
 from ..schema import PAGE_HEIGHT
 from ..sources.typesetter import LINES_SQL, WORDS_SQL
-from .layout import lines_and_words, words_of
+from .layout import _REGIONS, lines_and_words, words_of
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,13 +24,19 @@ def line_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(*L.PAGE, "line").agg(F.count("*").alias("n_items"), F.min("item_no").alias("first_item"))
 
 
+def _strewn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items far enough off their lines to join others: anchors overlap, tie and come in another order than heights."""
+    n = (F.col("line_no") * 5 + F.col("word_no") * 3) % 11
+    return _items(spark, sf_dir).withColumn("y", F.col("y") + n * 1.25 - 6.0)
+
+
 def anchored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = O.per_page(_items(spark, sf_dir).select(*L.PAGE, "item_no", "y"), O.anchored_lines, "item_no long, line long")
+    found = O.per_page(_strewn(spark, sf_dir).select(*L.PAGE, "item_no", "y"), O.anchored_lines, "item_no long, line long")
     return found.groupBy(*L.PAGE, "line").agg(F.count("*").alias("n_items"), F.min("item_no").alias("first_item"))
 
 
 def row_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = O.per_page(_items(spark, sf_dir).select(*L.PAGE, "item_no", "x", "y"), O.clustered_rows, "item_no long, row long")
+    found = O.per_page(_strewn(spark, sf_dir).select(*L.PAGE, "item_no", "x", "y"), O.clustered_rows, "item_no long, row long")
     return found.groupBy(*L.PAGE, "row").agg(F.count("*").alias("n_items"), F.min("item_no").alias("first_item"))
 
 
@@ -141,10 +147,112 @@ def smart_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (line_grouping, anchored_lines, row_clusters, run_merge, fragment_merge, style_clusters, spatial_groups, block_merge, notes_rewrite, paragraph_chase, line_separation, style_paragraphs, glyph_runs, ctm_paths, smart_boundary)}
+#: Items of ``_strewn``; then the different heights of each page, ``k`` in the order of first items or from the top.
+_STREWN = """,
+st AS (
+  SELECT doc_id, page_no, CAST(line_no AS BIGINT) * 100000 + word_no AS item_no,
+    y + CASE (line_no + word_no) % 5 WHEN 1 THEN 0.5 WHEN 3 THEN -0.5 ELSE 0.0 END + (line_no * 5 + word_no * 3) % 11 * 1.25 - 6.0 AS y FROM words),
+hs AS (SELECT doc_id, page_no, {height} AS h, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY {order}) AS k FROM st GROUP BY doc_id, page_no, {height})
+"""
+#: Blocks of ``_blocks``.
+_BLOCKS = (
+    _REGIONS
+    + """,
+p1 AS (SELECT *, top - lag(top + height) OVER w AS gap, abs(min_x - lag(min_x) OVER w) AS shift FROM l2 WINDOW w AS (PARTITION BY doc_id, page_no, region_no ORDER BY top, min_x, line_no)),
+p2 AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > greatest(4.0, mh * 0.8) OR (shift > greatest(10.0, mh * 1.2) AND gap > greatest(1.0, mh * 0.15)) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no, region_no ORDER BY top, min_x, line_no) - 1 AS paragraph_no FROM p1),
+p3 AS (
+  SELECT doc_id, page_no, CAST(region_no * 1000 + paragraph_no AS INTEGER) AS block_no, min(top) AS top, max(top + height) AS bottom, min(min_x) AS indent, min(font_size) AS font_size, min_by(text, line_no) AS text
+  FROM p2 GROUP BY doc_id, page_no, region_no, paragraph_no),
+bk AS (
+  SELECT * REPLACE (CASE WHEN block_no % 7 = 2 THEN 'IMPORTANT NOTES' ELSE text END AS text), CASE WHEN block_no % 5 = 1 THEN 'list' WHEN block_no % 11 = 3 THEN 'heading' ELSE 'paragraph' END AS kind,
+    CASE WHEN block_no % 2 = 0 THEN 'ul' ELSE 'ol' END AS list_kind FROM p3)
+"""
+)
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH", "WITH RECURSIVE", 1)
+
+
 ORACLES: dict[str, str] = {
-    # lines of the typesetter are 12 or 18 apart, so a running mean, an anchor and a row cluster all find the lines themselves
-    "anchored_lines": WORDS_SQL + "SELECT doc_id, page_no, dense_rank() OVER (PARTITION BY doc_id, page_no ORDER BY line_no) - 1 AS line, count(*) AS n_items, min(CAST(line_no AS BIGINT) * 100000 + word_no) AS first_item FROM words GROUP BY doc_id, page_no, line_no",
-    "row_clusters": WORDS_SQL + "SELECT doc_id, page_no, dense_rank() OVER (PARTITION BY doc_id, page_no ORDER BY line_no) - 1 AS row, count(*) AS n_items, min(CAST(line_no AS BIGINT) * 100000 + word_no) AS first_item FROM words GROUP BY doc_id, page_no, line_no",
+    "anchored_lines": _recursive(WORDS_SQL)
+    + _STREWN.format(height="CAST(floor(y + 0.5) AS BIGINT)", order="min(item_no)")
+    + """,
+an AS (
+  SELECT doc_id, page_no, h, k, [h] AS anchors, CAST(0 AS BIGINT) AS line FROM hs WHERE k = 1
+  UNION ALL
+  SELECT doc_id, page_no, h, k, CASE WHEN near IS NULL THEN list_append(anchors, h) ELSE anchors END, coalesce(near, len(anchors)) FROM (
+    SELECT hs.doc_id, hs.page_no, hs.h, hs.k, anchors, list_position(list_transform(anchors, lambda a: abs(a - hs.h) < 3), true) - 1 AS near
+    FROM an JOIN hs ON an.doc_id = hs.doc_id AND an.page_no = hs.page_no AND hs.k = an.k + 1))
+SELECT st.doc_id, st.page_no, line, count(*) AS n_items, min(item_no) AS first_item
+FROM st JOIN an ON st.doc_id = an.doc_id AND st.page_no = an.page_no AND CAST(floor(st.y + 0.5) AS BIGINT) = an.h GROUP BY st.doc_id, st.page_no, line
+""",
+    "row_clusters": _recursive(WORDS_SQL)
+    + _STREWN.format(height="y", order="y DESC")
+    + """,
+rc AS (
+  SELECT doc_id, page_no, h, k, h AS anchor, CAST(0 AS BIGINT) AS row FROM hs WHERE k = 1
+  UNION ALL
+  SELECT hs.doc_id, hs.page_no, hs.h, hs.k, CASE WHEN abs(hs.h - anchor) > 8.0 THEN hs.h ELSE anchor END, row + CASE WHEN abs(hs.h - anchor) > 8.0 THEN 1 ELSE 0 END
+  FROM rc JOIN hs ON rc.doc_id = hs.doc_id AND rc.page_no = hs.page_no AND hs.k = rc.k + 1)
+SELECT st.doc_id, st.page_no, row, count(*) AS n_items, min(item_no) AS first_item
+FROM st JOIN rc ON st.doc_id = rc.doc_id AND st.page_no = rc.page_no AND st.y = rc.h GROUP BY st.doc_id, st.page_no, row
+""",
+    "block_merge": _recursive(_BLOCKS)
+    + """,
+ob AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY top, block_no) AS k FROM bk),
+mb AS (
+  SELECT doc_id, page_no, block_no, k, kind, list_kind, bottom, indent, font_size, CAST(0 AS INTEGER) AS merged FROM ob WHERE k = 1
+  UNION ALL
+  SELECT doc_id, page_no, block_no, k, CASE WHEN joins THEN okind ELSE kind END, CASE WHEN joins THEN olist ELSE list_kind END, CASE WHEN joins THEN greatest(obottom, bottom) ELSE bottom END,
+    CASE WHEN joins THEN oindent ELSE indent END, CASE WHEN joins THEN osize ELSE font_size END, merged + CASE WHEN joins THEN 0 ELSE 1 END
+  FROM (
+    SELECT ob.*, mb.merged, mb.kind AS okind, mb.list_kind AS olist, mb.bottom AS obottom, mb.indent AS oindent, mb.font_size AS osize,
+      ob.top - mb.bottom <= 9.0 AND abs(mb.indent - ob.indent) <= 8.0 AND mb.kind = ob.kind
+        AND ((ob.kind = 'list' AND mb.list_kind = ob.list_kind) OR (ob.kind = 'paragraph' AND abs(mb.font_size - ob.font_size) <= {alike})) AS joins
+    FROM mb JOIN ob ON mb.doc_id = ob.doc_id AND mb.page_no = ob.page_no AND ob.k = mb.k + 1))
+SELECT doc_id, page_no, merged, count(*) AS n_blocks, min(block_no) AS first_block FROM mb GROUP BY doc_id, page_no, merged
+""".replace("{alike}", "greatest(1.5, 1.8)"),
+    "notes_rewrite": _BLOCKS
+    + """,
+n1 AS (SELECT *, regexp_matches(text, '(?i)important notes') AS note FROM bk),
+n2 AS (SELECT *, sum(CASE WHEN note THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no ORDER BY block_no) AS part FROM n1),
+n3 AS (SELECT *, first_value(indent) OVER (PARTITION BY doc_id, page_no, part ORDER BY block_no) AS edge FROM n2),
+n4 AS (SELECT *, part > 0 AND (note OR (min(CASE WHEN note OR (kind = 'paragraph' AND abs(indent - edge) <= 30.0) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no, part ORDER BY block_no) = 1)) AS held FROM n3),
+tk AS (SELECT doc_id, page_no, part, min(block_no) AS block_no, trim(string_agg(trim(text), ' ' ORDER BY block_no)) AS t FROM n4 WHERE held AND NOT note GROUP BY doc_id, page_no, part),
+cu AS (
+  SELECT *, list_filter(range(2, length(t)), lambda e: substr(t, e, 1) = ' ' AND substr(t, e - 1, 1) IN ('.', '!', '?') AND regexp_matches(substr(t, e + 1, 1), '[A-Z]')) AS ends FROM tk WHERE t <> ''),
+ct AS (SELECT *, CASE WHEN len(ends) = 0 THEN length(t) // 2 ELSE list_extract(list_sort(list_transform(ends, lambda e: {'d': abs(e - length(t) / 2.0), 'e': e})), 1).e END AS cut FROM cu),
+al AS (
+  SELECT doc_id, page_no, block_no, CASE WHEN note THEN 'heading' ELSE kind END AS kind, text FROM n4 WHERE note OR NOT held
+  UNION ALL
+  SELECT doc_id, page_no, block_no, 'list', array_to_string(list_filter([trim(substr(t, 1, cut)), trim(substr(t, cut + 1))], lambda x: x <> ''), chr(10)) FROM ct)
+SELECT doc_id, page_no, block_no, kind, md5(text) AS text_md5 FROM al
+""",
+    "paragraph_chase": _recursive(LINES_SQL)
+    + """,
+pl AS (SELECT doc_id, page_no, line_no, 792.0 - top AS y FROM lines),
+nx AS (
+  SELECT a.doc_id, a.page_no, a.line_no, arg_min(b.line_no, {'y': -b.y, 'n': b.line_no}) AS after
+  FROM pl a JOIN pl b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND abs(b.y - (a.y - 12.0)) < 4.0 GROUP BY a.doc_id, a.page_no, a.line_no),
+ch AS (
+  SELECT doc_id, page_no, line_no, line_no AS pos, 1 AS length FROM pl
+  UNION ALL
+  SELECT ch.doc_id, ch.page_no, ch.line_no, nx.after, length + 1 FROM ch JOIN nx ON ch.doc_id = nx.doc_id AND ch.page_no = nx.page_no AND ch.pos = nx.line_no)
+SELECT doc_id, page_no, line_no, max(length) AS length FROM ch GROUP BY doc_id, page_no, line_no
+""",
+    "style_paragraphs": _recursive(LINES_SQL)
+    + """,
+sl AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY top, line_no) AS k FROM lines),
+sp AS (
+  SELECT doc_id, page_no, line_no, k, min_x, font_size, top + height AS bottom, CAST(0 AS INTEGER) AS grp FROM sl WHERE k = 1
+  UNION ALL
+  SELECT doc_id, page_no, line_no, k, CASE WHEN same THEN ox ELSE min_x END, CASE WHEN same THEN os ELSE font_size END, top + height, grp + CASE WHEN same THEN 0 ELSE 1 END
+  FROM (
+    SELECT sl.*, sp.grp, sp.min_x AS ox, sp.font_size AS os, sl.font_size = sp.font_size AND abs(sl.min_x - sp.min_x) <= 1.5 AND sl.top - sp.bottom <= 0.6 * sl.height AS same
+    FROM sp JOIN sl ON sp.doc_id = sl.doc_id AND sp.page_no = sl.page_no AND sl.k = sp.k + 1))
+SELECT doc_id, page_no, grp AS "group", count(*) AS n_lines, min(line_no) AS first_line FROM sp GROUP BY doc_id, page_no, grp
+""",
     "line_separation": LINES_SQL
     + """,
 o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY top, line_no) AS r, height * 1.25 AS h FROM lines),

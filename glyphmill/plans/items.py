@@ -108,7 +108,51 @@ def web_font_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (reader_items, repaired_sizes, font_scales, run_padding, paragraph_glue, lexical_lines, lexical_split, split_blocks, structures, web_font_search)}
 _WEB = "VALUES " + ", ".join(sorted({f"('{b}', '{c}')" for _, b, c, *_ in N.web_font_rows()}))
+_OPEN, _CLOSE, _TIGHT, _WORDY = "[(\\[{\"''‘“]", "[)\\]}\"''’”]", "[,.;:!?]", "[\\p{L}\\p{N}]"
+
+
+def _padding(gap: str, size: str, left: str, right: str, breaks: str) -> str:
+    """SQL of the padding between two runs; null without a neighbour."""
+    closes = f"(regexp_matches({right}, '^{_CLOSE}') OR regexp_matches({right}, '^{_TIGHT}'))"
+    opens, wordy = f"regexp_matches({left}, '{_OPEN}$')", f"regexp_matches({right}, '^{_WORDY}')"
+    sticks = f"(({opens} AND {wordy}) OR (regexp_matches({left}, '-$') AND {wordy}) OR (regexp_matches({left}, '{_WORDY}$') AND {closes}) OR ({opens} AND {closes}))"
+    ratio, camel = f"{gap} / greatest(0.01, {size} * 0.55)", f"(regexp_matches({left}, '[A-Za-z]$') AND regexp_matches({right}, '^[A-Z]'))"
+    share = f"CASE WHEN {gap} < {size} * 0.25 THEN least({gap} * 0.6, {size} * 0.12) WHEN {gap} < {size} * 0.5 AND {ratio} < 0.5 THEN least({gap} * 0.4, {size} * 0.08) WHEN {gap} < {size} * 0.7 AND {ratio} < 0.7 AND NOT {camel} AND NOT {breaks} THEN least({gap} * 0.2, {size} * 0.05) ELSE 0.0 END"
+    return f"coalesce(CASE WHEN {gap} > 0 AND NOT {sticks} THEN floor(CAST({share} AS DOUBLE) * 1000 + 0.5) / 1000.0 ELSE 0.0 END, 0.0)"
+
+
 ORACLES = {
+    "run_padding": WORDS_SQL
+    + f""",
+r AS (
+  SELECT doc_id, page_no, line_no, word_no, font_size, x + CASE (line_no + word_no) % 4 WHEN 1 THEN 1.25 WHEN 2 THEN -2.0 ELSE 0.0 END AS x, CASE WHEN (line_no + word_no) % 9 = 4 THEN width * 0.5 ELSE width END AS width,
+    CASE (line_no + word_no) % 10 WHEN 3 THEN '(' || text WHEN 6 THEN ',' ELSE text END AS t FROM words),
+n AS (
+  SELECT *, lag(x) OVER w AS px, lag(width) OVER w AS pw, lag(font_size) OVER w AS ps, lag(t) OVER w AS pt, lead(x) OVER w AS nx, lead(font_size) OVER w AS ns, lead(t) OVER w AS nt FROM r
+  WINDOW w AS (PARTITION BY doc_id, page_no, line_no ORDER BY x, word_no)),
+g AS (SELECT *, x - (px + pw) AS lgap, greatest(1.0, (ps + font_size) / 2) AS lsize, nx - (x + width) AS rgap, greatest(1.0, (ns + font_size) / 2) AS rsize, length(t) * font_size * 0.45 AS least_ FROM n),
+p AS (
+  SELECT *, {_padding("lgap", "lsize", "pt", "t", "false")} AS padding_left, {_padding("rgap", "rsize", "t", "nt", "regexp_matches(nt, '^[,.;:!?)]')")} AS padding_right,
+    floor(CAST(CASE WHEN width <= 0 THEN least(font_size * 0.08, 2.0) WHEN width < least_ * 0.9 THEN least((least_ - width) * 0.3, font_size * 0.15) ELSE 0.0 END AS DOUBLE) * 1000 + 0.5) / 1000.0 AS width_adjustment FROM g),
+q AS (
+  SELECT *, greatest(0.0, floor(coalesce(nx - 36.0 - (x - 36.0) - (padding_left + padding_right) - 1.0, 540.0 - (x - 36.0) - (padding_left + padding_right)) * 1000 + 0.5) / 1000.0) AS budget,
+    greatest(0.0, floor((width + width_adjustment) * 1000 + 0.5) / 1000.0) AS own, CASE WHEN length(t) > 1 THEN font_size * 0.1 * length(t) ELSE font_size * 0.05 END AS lowest FROM p),
+f AS (SELECT *, CASE WHEN own > 0 AND own >= lowest THEN own ELSE floor(length(t) * font_size * 0.5 * 1000 + 0.5) / 1000.0 END AS wanted FROM q)
+SELECT doc_id, page_no, line_no, round(sum(padding_left), 6) AS padding_left, round(sum(padding_right), 6) AS padding_right, round(sum(width_adjustment), 6) AS width_adjustment,
+  round(sum(CASE WHEN budget > 0 THEN least(wanted, budget) ELSE wanted END), 6) AS final_width
+FROM f GROUP BY doc_id, page_no, line_no
+""",
+    "paragraph_glue": WORDS_SQL
+    + f""",
+r AS (SELECT doc_id, page_no, line_no, word_no, x, width, font_size, CASE (line_no + word_no) % 7 WHEN 2 THEN text || '-' WHEN 4 THEN '(' || text WHEN 5 THEN text || ' ' ELSE text END AS t FROM words),
+b AS (SELECT *, lag(t) OVER w AS pt, x - (lag(x) OVER w + lag(width) OVER w) AS gap, (font_size + lag(font_size) OVER w) / 2 AS size, lead(t) OVER w AS nt FROM r WINDOW w AS (PARTITION BY doc_id, page_no, line_no ORDER BY word_no)),
+g AS (
+  SELECT *, CASE WHEN pt IS NULL THEN ''
+    WHEN rtrim(pt) = '' OR ltrim(t) = '' OR regexp_matches(rtrim(pt), '-$') OR regexp_matches(rtrim(pt), '{_OPEN}$') OR regexp_matches(ltrim(t), '^(?:{_CLOSE}|{_TIGHT})') OR gap <= size * 0.12 THEN ''
+    WHEN regexp_matches(pt, '\\s$') OR regexp_matches(t, '^\\s') OR gap >= greatest(0.6, size * 0.28) OR (regexp_matches(rtrim(pt), '{_WORDY}$') AND regexp_matches(ltrim(t), '^{_WORDY}')) THEN ' ' ELSE '' END AS between_ FROM b)
+SELECT doc_id, page_no, line_no, md5(string_agg(between_ || CASE WHEN nt IS NOT NULL THEN regexp_replace(trim(t), '-$', '') ELSE trim(t) END, '' ORDER BY word_no)) AS text_md5
+FROM g GROUP BY doc_id, page_no, line_no
+""",
     "reader_items": """
 WITH o AS (
   SELECT o_orderkey AS k, o_orderpriority AS t, CASE WHEN o_orderkey % 3 = 1 THEN 0.0 ELSE 2.0 END AS a, CASE o_orderkey % 3 WHEN 1 THEN 3.0 WHEN 2 THEN 2.0 ELSE 0.0 END AS b,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ocr import decode as O
+from ..sources.typesetter import WORDS_SQL
 from .layout import words_of
 
 CLASSES = 8
@@ -30,6 +31,11 @@ def ocr_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (ctc_decode, ocr_items)}
 ORACLES = {
+    "ocr_items": WORDS_SQL
+    + """,
+c AS (SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY x) AS item_no FROM words WHERE word_no % 10 / 10.0 >= 0.5)
+SELECT doc_id, page_no, count(*) AS n_items, max(item_no) AS last, CAST(sum(10.0 * 0.8) AS DOUBLE) AS sizes FROM c GROUP BY doc_id, page_no
+""",
     "ctc_decode": """
 WITH s AS (SELECT vec_id, unnest(range(len(embedding) // 8)) AS i, embedding FROM embeddings),
 c AS (SELECT vec_id, i, list_transform(range(1, 9), lambda k: round(CAST(embedding[i * 8 + k] AS DOUBLE), 4)) AS v FROM s),
