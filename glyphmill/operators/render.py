@@ -157,3 +157,10 @@ def flex_lines(words: DataFrame, space: float = 0.35) -> DataFrame:
     item = M.element("span", X.escape_html(F.col("text")), {"style": F.when(gap > F.col("font_size") * space, F.concat(F.lit("margin-left: "), M.px(gap)))})
     rows = words.select(*keys, "word_no", "x", item.alias("item"), first.alias("first"))
     return rows.groupBy(*keys, "first").agg(joined(F.col("item"), ["x", "word_no"], " ").alias("body")).select(*keys, F.concat(F.lit('<div class="line" style="display: flex; padding-left: '), M.px(F.col("first")), F.lit('">'), F.col("body"), F.lit("</div>")).alias("html"))
+
+
+def token_html(tokens: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Tokens of a line (text, space before it, class) as inline HTML: a span for each piece, plain spaces between."""
+    span = M.element("span", X.escape_html(F.col("text")), {"class": F.col("cls")})
+    piece = F.concat(F.when(F.col("space"), " ").otherwise(""), span)
+    return tokens.groupBy(*keys).agg(joined(piece, list(order), "").alias("html"))

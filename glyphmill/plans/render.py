@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import PRESETS, HtmlOptions
 from ..functions import fonts as N
 from ..functions import markup as M
+from ..functions import text as X
+from ..operators import adapter as A
 from ..operators import documents as D
 from ..operators import layout as L
 from ..operators import render as R
@@ -57,6 +59,30 @@ def flex_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.flex_lines(words_of(spark, sf_dir)).select(*L.LINE, F.md5("html").alias("html_md5"))
 
 
+def flex_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of placed words, half of them within a shifted region, read back and laid out as flex rows; some words have no font, some no width."""
+    words = words_of(spark, sf_dir)
+    n = F.col("line_no") + F.col("word_no")
+    top = PAGE_HEIGHT - (F.col("y") + F.col("height")) + F.when(n % 6 == 1, 3.0).otherwise(0.0)
+    style = F.concat(F.lit("position: absolute; left: "), M.px(F.col("x")), F.lit("; top: "), M.px(top), F.when(n % 3 == 0, F.concat(F.lit("; width: "), M.px(F.col("width")))).otherwise(""))
+    text = M.element("span", X.escape_html(F.col("text")), {"class": F.when(n % 13 == 0, "gap").otherwise("t"), "data-font-family": F.when(n % 7 != 0, F.col("font_family")), "data-font-size": F.when(n % 5 != 0, M.number(F.col("font_size"))), "style": style})
+    inner = F.when(F.col("line_no") % 2 == 1, F.concat(F.lit('<div class="region" style="position: absolute; left: 10px; top: 4.5px"><b>'), text, F.lit("</b></div>"))).otherwise(text)
+    rows = words.select(*L.PAGE, "line_no", "word_no", inner.alias("said"))
+    pages = rows.groupBy(*L.PAGE).agg(F.concat(F.lit('<div class="page"><br>'), R.joined(F.col("said"), ["line_no", "word_no"], " "), F.lit("</div>")).alias("html"))
+    found = A.flex_pages(A.elements(pages))
+    absolute, elements = F.regexp_count("html", F.lit("position: absolute|left:|top:")), F.regexp_count("html", F.lit("<span"))
+    return found.select(*L.PAGE, "n_rows", "n_spacers", F.round("widths", 6).alias("widths"), F.round("heights", 6).alias("heights"), elements.cast("long").alias("n_elements"), absolute.cast("long").alias("n_absolute"))
+
+
+def token_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of lines as tokens; a space stands where the gap before a word is half a character or more."""
+    words = words_of(spark, sf_dir)
+    line = Window.partitionBy(*L.LINE).orderBy("x", "word_no")
+    gap = F.col("x") - (F.lag("x").over(line) + F.lag("width").over(line))
+    tokens = words.select(*L.LINE, "word_no", "text", F.coalesce(gap >= 2.75, F.lit(False)).alias("space"), F.concat(F.lit("font-"), N.class_suffix(F.col("font_family"))).alias("cls"))
+    return R.token_html(tokens, L.LINE, ["word_no"]).select(*L.LINE, F.md5("html").alias("html_md5"))
+
+
 def css_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fonts of ten parts make a document."""
     f = _fonts(spark, sf_dir)
@@ -113,7 +139,7 @@ def image_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("s_suppkey").alias("id"), M.image(src, k, PAGE_HEIGHT - k, k / 4, F.lit(20.0)).alias("html"))
 
 
-QUERIES = {f.__name__: f for f in (style_dictionary, html_absolute, html_semantic, page_text, svg_text_layer, flex_lines, css_imports, css_sections, table_html, form_html, annotation_html, graphics_svg, image_html)}
+QUERIES = {f.__name__: f for f in (style_dictionary, html_absolute, html_semantic, page_text, svg_text_layer, flex_lines, flex_adapter, token_html, css_imports, css_sections, table_html, form_html, annotation_html, graphics_svg, image_html)}
 
 
 def _esc(c: str) -> str:
@@ -141,6 +167,37 @@ _FORM_NAME = _esc("p_name || '\"<'")
 _NOTE_BOX = _box("CAST(c_custkey % 500 AS DOUBLE)", "792.0 - (c_custkey % 500 + 30)", "40.0", "20.0")
 _NOTE = _esc("c_mktsegment || '<&'")
 ORACLES = {
+    "token_html": WORDS_SQL
+    + """,
+t AS (
+  SELECT *, coalesce(x - (lag(x) OVER w + lag(width) OVER w) >= 2.75, false) AS space, regexp_replace(regexp_replace(regexp_replace(lower(font_family), '[^a-z0-9]+', '-', 'g'), '^-+', ''), '-+$', '') AS slug,
+    replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS said
+  FROM words WINDOW w AS (PARTITION BY doc_id, page_no, line_no ORDER BY x, word_no))
+SELECT doc_id, page_no, line_no, md5(string_agg(CASE WHEN space THEN ' ' ELSE '' END || '<span class="font-' || slug || '">' || said || '</span>', '' ORDER BY word_no)) AS html_md5 FROM t GROUP BY doc_id, page_no, line_no
+""",
+    "flex_adapter": WORDS_SQL.replace("WITH", "WITH RECURSIVE", 1)
+    + r""",
+e AS (
+  SELECT doc_id, page_no, line_no, word_no, x + CASE WHEN line_no % 2 = 1 THEN 10.0 ELSE 0.0 END AS x,
+    792.0 - (y + height) + CASE WHEN (line_no + word_no) % 6 = 1 THEN 3.0 ELSE 0.0 END + CASE WHEN line_no % 2 = 1 THEN 4.5 ELSE 0.0 END AS top,
+    CASE WHEN (line_no + word_no) % 5 <> 0 THEN font_size ELSE 12.0 END AS size, width, text FROM words WHERE (line_no + word_no) % 7 <> 0 AND (line_no + word_no) % 13 <> 0),
+b AS (
+  SELECT *, CASE WHEN (line_no + word_no) % 3 = 0 THEN width ELSE greatest(1.0, floor(length(regexp_replace(text, '\s+', ' ', 'g')) * greatest(2.0, size * 0.55) * 1000 + 0.5) / 1000.0) END AS w,
+    greatest(1.0, floor(size * 1.15 * 1000 + 0.5) / 1000.0) AS h FROM e),
+tp AS (SELECT doc_id, page_no, top, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY top) AS k FROM b GROUP BY doc_id, page_no, top),
+rc AS (
+  SELECT doc_id, page_no, top, k, top AS anchor, 0 AS row FROM tp WHERE k = 1
+  UNION ALL
+  SELECT tp.doc_id, tp.page_no, tp.top, tp.k, CASE WHEN tp.top - anchor > 8.0 THEN tp.top ELSE anchor END, row + CASE WHEN tp.top - anchor > 8.0 THEN 1 ELSE 0 END
+  FROM rc JOIN tp ON rc.doc_id = tp.doc_id AND rc.page_no = tp.page_no AND tp.k = rc.k + 1),
+g AS (
+  SELECT b.*, row, x - greatest(0.0, coalesce(max(x + greatest(0.0, w)) OVER (PARTITION BY b.doc_id, b.page_no, row ORDER BY x, b.top, line_no, word_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) AS gap
+  FROM b JOIN rc ON b.doc_id = rc.doc_id AND b.page_no = rc.page_no AND b.top = rc.top),
+r AS (SELECT doc_id, page_no, row, min(top) AS top, max(h) AS h, count(*) AS n, count(CASE WHEN gap > 0.5 THEN 1 END) AS spacers, coalesce(sum(CASE WHEN gap > 0.5 THEN gap END), 0.0) AS widths FROM g GROUP BY doc_id, page_no, row),
+v AS (SELECT *, lead(top) OVER (PARTITION BY doc_id, page_no ORDER BY row) - (top + h) AS below FROM r)
+SELECT doc_id, page_no, count(*) AS n_rows, CAST(sum(spacers) + count(CASE WHEN below > 0.5 THEN 1 END) AS BIGINT) AS n_spacers, round(sum(widths), 6) AS widths,
+  round(coalesce(sum(CASE WHEN below > 0.5 THEN below END), 0.0), 6) AS heights, CAST(sum(n) AS BIGINT) AS n_elements, CAST(0 AS BIGINT) AS n_absolute FROM v GROUP BY doc_id, page_no
+""",
     "style_dictionary": _STYLED + "SELECT doc_id, md5(string_agg('.s' || nr || ' { ' || replace(style_key, ';', '; ') || '; }', chr(10) ORDER BY nr)) AS css_md5 FROM n GROUP BY doc_id",
     "html_absolute": _STYLED
     + f""",
