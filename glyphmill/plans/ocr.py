@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ocr import decode as O
+from ..ocr import prepare as R
+from ..schema import PAGE_HEIGHT, PAGE_WIDTH
 from ..sources.typesetter import WORDS_SQL
 from .layout import words_of
 
 CLASSES = 8
+SIDE = 8
 
 
 def ctc_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,8 +32,34 @@ def ocr_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", "page_no").agg(F.count("*").alias("n_items"), F.max("item_no").cast("long").alias("last"), F.sum("font_size").alias("sizes"))
 
 
-QUERIES = {f.__name__: f for f in (ctc_decode, ocr_items)}
+def detector_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as gray images of SIDE by SIDE pixels, black up to the next 32."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    gray = F.transform(F.slice("embedding", 1, SIDE * SIDE), lambda v: F.pmod(F.floor(v.cast("double") * 1000), F.lit(256)).cast("int"))
+    rows = e.select("vec_id", R.detector_figures(gray, SIDE).alias("d"))
+    return rows.select("vec_id", F.col("d.width").cast("long").alias("width"), F.col("d.height").cast("long").alias("height"), "d.ratio", F.round("d.total", 2).alias("total"))
+
+
+def text_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of words with a margin, cut off at the page's edges."""
+    words = words_of(spark, sf_dir)
+    box = R.crop_box(F.col("x") - 34.0, PAGE_HEIGHT - F.col("y"), F.col("width"), F.col("height"), F.lit(PAGE_WIDTH), F.lit(PAGE_HEIGHT))
+    return words.select("doc_id", "page_no", box.alias("b")).groupBy("doc_id", "page_no").agg(*[F.sum(F.col("b")[c]).alias(c) for c in ("x", "y", "width", "height")])
+
+
+QUERIES = {f.__name__: f for f in (ctc_decode, ocr_items, detector_inputs, text_crops)}
+_INPUT = " + ".join(f"(v / 255.0 - {m}) / {d}" for m, d in zip(R.MEAN, R.DEVIATION, strict=True))
 ORACLES = {
+    "detector_inputs": f"""
+WITH v AS (SELECT vec_id, unnest(list_transform(embedding[1:{SIDE * SIDE}], lambda x: (CAST(floor(CAST(x AS DOUBLE) * 1000) AS BIGINT) % 256 + 256) % 256)) AS v FROM embeddings),
+t AS (SELECT vec_id, sum({_INPUT}) AS total, max((SELECT {_INPUT} FROM (SELECT 0 AS v))) AS black FROM v GROUP BY vec_id)
+SELECT vec_id, CAST(32 AS BIGINT) AS width, CAST(32 AS BIGINT) AS height, CAST(1.0 AS DOUBLE) AS ratio, round(total + (32 * 32 - {SIDE * SIDE}) * black, 2) AS total FROM t
+""",
+    "text_crops": WORDS_SQL
+    + """,
+b AS (SELECT doc_id, page_no, width AS w, height AS h, greatest(0.0, x - 34.0 - 5) AS x, greatest(0.0, 792.0 - y - 5) AS y FROM words)
+SELECT doc_id, page_no, sum(x) AS x, sum(y) AS y, sum(least(612.0 - x, w + 10)) AS width, sum(least(792.0 - y, h + 10)) AS height FROM b GROUP BY doc_id, page_no
+""",
     "ocr_items": WORDS_SQL
     + """,
 c AS (SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY x) AS item_no FROM words WHERE word_no % 10 / 10.0 >= 0.5)

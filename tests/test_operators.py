@@ -124,3 +124,26 @@ def test_counts_of_a_stream_equal_those_of_the_table(spark, tmp_path):
     got = spark.table("late_counts").agg(F.sum("n"), F.count("*")).first()
     want = P.late_counts(table).agg(F.sum("n"), F.count("*")).first()
     assert tuple(got) == tuple(want) and got[0] == table.where("ts is not null").count()
+
+
+def test_detector_input_and_turned_crops():
+    import numpy as np
+
+    from glyphmill.ocr import prepare as R
+
+    rng = np.random.default_rng(1)
+    image = rng.integers(0, 256, (40, 70, 4), np.uint8)
+    tensor, ratio = R.detector_input(image)
+    assert tensor.shape == (3, 64, 96) and ratio == 1.0
+    for c, y, x in ((0, 0, 0), (1, 39, 69), (2, 17, 33), (0, 40, 0), (2, 63, 95)):
+        v = image[y, x, c] / 255 if y < 40 and x < 70 else 0.0
+        assert abs(tensor[c, y, x] - (v - R.MEAN[c]) / R.DEVIATION[c]) < 1e-5
+    large = np.repeat(np.repeat(image[:30, :48], 40, 0), 40, 1)  # 1920 by 1200, blocks of one colour
+    tensor, ratio = R.detector_input(large)
+    assert tensor.shape == (3, 608, 960) and ratio == 0.5
+    assert abs(tensor[1, 310, 410] - (image[15, 20, 1] / 255 - R.MEAN[1]) / R.DEVIATION[1]) < 1e-5
+    half = R.resized(np.array([[[0], [100]], [[50], [150]]], np.uint8), 1, 1)
+    assert half.tolist() == [[[75]]]
+    crop = image[:9, :13]
+    assert R.classifier_input(crop).shape == (3, 48, 192) and abs(R.classifier_input(crop)).max() <= 1
+    assert (R.upright(crop, [0.9, 0.1]) == crop).all() and (R.upright(crop, [0.1, 0.9])[0, 0] == crop[8, 12]).all()
