@@ -243,16 +243,18 @@ def _links(classes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     postings = _postings(classes, sent)
     lists = postings.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("lead")).where("size > 1")
     # sums over tokens are written before rows are joined with them, so that a join can split a long list
-    lists = scratch.written(lists, "lists")
-    shared = scratch.written(postings.join(lists, "token").select("token", "node", "n", "size", "lead"), "shared")
+    with Scratch(docs.sparkSession) as first:
+        lists = first.written(lists, "lists")
+        shared = scratch.written(postings.join(lists, "token").select("token", "node", "n", "size", "lead"), "shared")
     stars = shared.where(f"size > {SMALL} and node != lead.node and 4 * least(n, lead.n) >= 3 * greatest(n, lead.n)").select(F.col("lead.node").alias("u"), F.col("node").alias("v"))
     small = shared.where(f"size <= {SMALL}").select("token", "node", "n")
     small = small.alias("a").join(small.alias("b"), F.expr(f"a.token = b.token and a.node < b.node and {_FITS}")).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
     links = _stars(_confirmed(stars.unionByName(small), classes, docs, scratch))
     own = shared.where(f"size > {SMALL}").select("token", "node", "n", "size").join(links.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    own = scratch.written(own, "members")
-    split = scratch.written(own.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("token"), "split")
-    open_ = scratch.written(own.join(split, "token").join(classes.select("node", "sig"), "node"), "open")
+    with Scratch(docs.sparkSession) as last:
+        own = last.written(own, "members")
+        split = last.written(own.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("token"), "split")
+        open_ = scratch.written(own.join(split, "token").join(classes.select("node", "sig"), "node"), "open")
     if open_.isEmpty():
         return links
     return _stars(scratch.written(_merge_lists(open_, docs, sent).unionByName(links), "links"))
