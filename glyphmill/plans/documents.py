@@ -131,6 +131,23 @@ sc AS (SELECT *, (tp < 50 AND (ip >= 0.8 OR coverage > 0.3)) OR (wi > 0.7 AND wt
 """
 )
 ORACLES = {
+    "better_text": r"""
+WITH v AS (
+  SELECT doc_id, 1 AS side, CASE WHEN doc_id % 3 = 0 THEN regexp_replace(text, '(.)', '\1 ', 'g') ELSE text END AS text FROM documents
+  UNION ALL SELECT doc_id, 2, text FROM documents),
+i AS (SELECT *, list_filter(string_split_regex(text, '\s+'), lambda w: w <> '') AS ws FROM v),
+d AS (
+  SELECT doc_id, side, text, array_to_string(ws, ' ') AS joined, len(ws) AS n_items, len(list_filter(ws, lambda w: regexp_matches(w, '[A-Za-z]'))) AS alpha_items,
+    len(list_filter(ws, lambda w: regexp_matches(w, '^[A-Za-z]{1,2}$'))) AS short_items, list_filter(ws, lambda w: regexp_matches(w, '^[A-Za-z]+$')) AS alpha FROM i),
+t AS (
+  SELECT *, len(regexp_extract_all(joined, '(?:\b[A-Za-z]\b\s+){4,}\b[A-Za-z]\b')) AS singles, len(regexp_extract_all(joined, '\b[A-Za-z]{1,2}(?:\s+[A-Za-z]{1,2}){4,}\b')) AS fragments FROM d),
+r AS (
+  SELECT *, len(list_filter(alpha, lambda w: length(w) >= 3)) / CAST(greatest(1, len(alpha)) AS DOUBLE) - len(list_filter(alpha, lambda w: length(w) <= 2)) / CAST(greatest(1, len(alpha)) AS DOUBLE) * 0.6
+    - least(1.0, singles * 0.25 + fragments * 0.15 + short_items / CAST(greatest(1, alpha_items) AS DOUBLE) * 0.9 + least(1.0, n_items / CAST(greatest(1, length(replace(joined, ' ', ''))) AS DOUBLE)) * 0.75) AS raw FROM t),
+s AS (SELECT doc_id, side, text, CASE WHEN length(joined) < 80 THEN 1.0 ELSE greatest(0.0, least(1.0, raw)) END AS score FROM r WHERE n_items > 0),
+p AS (SELECT a.doc_id, a.text AS t1, b.text AS t2, coalesce(a.score < 0.32 AND b.score > a.score + 0.08 AND b.text <> '', false) AS replaced FROM s a LEFT JOIN s b ON a.doc_id = b.doc_id AND b.side = 2 WHERE a.side = 1)
+SELECT doc_id, 0 AS page_no, md5(CASE WHEN replaced THEN t2 ELSE t1 END) AS text_md5, replaced FROM p
+""".replace("\\\\", "\\"),
     "scan_detect": _FIGURES
     + """
 SELECT doc_id, is_scanned, round(CAST(CASE WHEN is_scanned THEN least(1.0, 0.5 + CASE WHEN tp < 20 THEN 0.2 ELSE 0.0 END + CASE WHEN ip >= 1 THEN 0.2 ELSE 0.0 END + CASE WHEN coverage > 0.5 THEN 0.15 ELSE 0.0 END + CASE WHEN wi > 0.9 AND wt < 0.2 THEN 0.15 ELSE 0.0 END)

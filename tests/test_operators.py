@@ -147,3 +147,25 @@ def test_detector_input_and_turned_crops():
     crop = image[:9, :13]
     assert R.classifier_input(crop).shape == (3, 48, 192) and abs(R.classifier_input(crop)).max() <= 1
     assert (R.upright(crop, [0.9, 0.1]) == crop).all() and (R.upright(crop, [0.1, 0.9])[0, 0] == crop[8, 12]).all()
+
+
+def test_html_with_nested_and_unplaced_elements_becomes_rows(spark):
+    from glyphmill.operators import adapter as A
+
+    span = lambda text, left, top, extra="", cls="t": f'<span class="{cls}" data-font-family="F" data-font-size="10" style="position: absolute; left: {left}px; top: {top}px{extra}">{text}</span>'
+    html = '<div class="page"><br>' + span("ab &amp; c", 5, 20) + span("x", 80, 23, "; width: 30px") + '<div style="left: 2px; top: 40.5px"><p>' + span("in", 1, 1) + "</p></div>"
+    html += span("", 0, 300, "; height: 50px") + span("gap", 0, 0, cls="a gap") + '<span style="position: absolute; left: 1px">no font</span></div>'
+    rows = A.elements(spark.createDataFrame([(1, 0, html), (2, 0, "plain < text"), (3, 0, None)], "doc_id long, page_no int, html string"))
+    got = [(r.body, r.x, r.top, r.width, r.height) for r in rows.orderBy("top", "x").collect()]
+    assert got == [("ab &amp; c", 5.0, 20.0, 33.0, 11.5), ("x", 80.0, 23.0, 30.0, 11.5), ("in", 3.0, 41.5, 11.0, 11.5), ("", 0.0, 300.0, 1.0, 50.0)]
+    page = A.flex_pages(rows).collect()
+    assert len(page) == 1 and (page[0].n_rows, page[0].n_spacers) == (3, 5) and page[0].widths == 5.0 + 42.0 + 3.0 and page[0].heights == 10.0 + 247.0
+    assert "absolute" not in page[0].html and page[0].html.count("ab &amp; c") == 1 and '<div class="gap" style="width: 42px; flex-shrink: 0"></div>' in page[0].html
+
+
+def test_respacing_examples(spark):
+    from glyphmill.functions import text as X
+
+    cases = {"flight AB123 now": "flight AB 123 now", "toParis we go ZRH 815": "to Pariswe go ZRH 815", "someWord here": "some Word here", "https://a.bc/AB12": "https://a.bc/AB 12", "plain": "plain", "A l o n e": "A l o n e"}
+    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", X.respace(F.col("t")).alias("r"))
+    assert {r.t: r.r for r in df.collect()} == cases
