@@ -175,6 +175,56 @@ def _recursive(sql: str) -> str:
 
 
 ORACLES: dict[str, str] = {
+    # a step takes the next item of the list that its row carries
+    "run_merge": _recursive(WORDS_SQL)
+    + """,
+it AS (
+  SELECT doc_id, page_no, line_no, list({'t': text, 'x': x, 'w': width, 'c': color} ORDER BY x, CAST(line_no AS BIGINT) * 100000 + word_no) AS items, any_value(font_size) AS size FROM words GROUP BY doc_id, page_no, line_no),
+rm AS (
+  SELECT doc_id, page_no, line_no, items, size, 1 AS k, 0 AS run, items[1].t AS t, items[1].x AS x, items[1].w AS w, items[1].c AS c, CAST(1 AS BIGINT) AS n FROM it
+  UNION ALL
+  SELECT doc_id, page_no, line_no, items, size, k + 1, CASE WHEN joins THEN run ELSE run + 1 END, CASE WHEN joins THEN t || CASE WHEN i.x - (last.x + last.w) > 0.25 * size THEN ' ' ELSE '' END || i.t ELSE i.t END,
+    CASE WHEN joins THEN x ELSE i.x END, CASE WHEN joins THEN greatest(0.0, greatest(x + w, i.x + i.w) - x) ELSE i.w END, CASE WHEN joins THEN c ELSE i.c END, CASE WHEN joins THEN n + 1 ELSE 1 END
+  FROM (
+    SELECT *, CASE WHEN length(trim(i.t)) <= 3 OR length(trim(t)) <= 5 THEN i.x - (x + w) < 2 * size ELSE c = i.c AND i.x - (x + w) < 10.0 END AS joins
+    FROM (SELECT *, items[k + 1] AS i, items[k] AS last FROM rm WHERE k < len(items))))
+SELECT doc_id, page_no, line_no, CAST(run AS INTEGER) AS run, md5(arg_max(t, k)) AS text_md5, any_value(x) AS x, arg_max(w, k) AS width, CAST(max(n) AS INTEGER) AS n FROM rm GROUP BY doc_id, page_no, line_no, run
+""",
+    # lines are too far apart to share a run, and rights only grow along a line, so the glyph before tells all of a run's state
+    "glyph_runs": WORDS_SQL
+    + """,
+w AS (SELECT *, CASE WHEN word_no % 3 = 0 THEN text || ' ' ELSE text END AS said FROM words),
+c AS (SELECT doc_id, page_no, line_no, word_no, x, font_size, unnest(string_split(said, '')) AS ch, unnest(range(len(string_split(said, '')))) AS i FROM w),
+g AS (SELECT *, x + i * 5.5 AS l, x + i * 5.5 + CASE WHEN ch = ' ' THEN 2.0 ELSE 5.5 END AS r, regexp_matches(ch, '^\\s$') AS blank FROM c),
+b AS (SELECT *, l - lag(r) OVER o AS gap, lag(blank) OVER o AS spaced, greatest(1.0, font_size) AS size FROM g WINDOW o AS (PARTITION BY doc_id, page_no, line_no ORDER BY word_no, i)),
+f AS (SELECT *, CASE WHEN gap IS NULL OR gap < -size OR gap > 1.6 * size THEN 1 ELSE 0 END AS starts FROM b),
+n AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id, page_no ORDER BY line_no, word_no, i ROWS UNBOUNDED PRECEDING) - 1 AS run FROM f),
+p AS (
+  SELECT *, CASE WHEN starts = 1 THEN ch WHEN blank THEN CASE WHEN spaced OR r - l < 0.08 * size THEN '' ELSE ' ' END
+    WHEN gap >= size / 3 AND NOT spaced AND NOT regexp_matches(ch, '^[,.;:!?)\\]}]') THEN ' ' || ch ELSE ch END AS piece FROM n)
+SELECT doc_id, page_no, CAST(run AS INTEGER) AS run, md5(rtrim(string_agg(piece, '' ORDER BY line_no, word_no, i))) AS text_md5, min(l) AS x, round(max(r) - min(l), 6) AS width, CAST(count(*) AS INTEGER) AS n
+FROM p GROUP BY doc_id, page_no, run
+""",
+    "fragment_merge": _recursive(WORDS_SQL)
+    + """,
+yi AS (
+  SELECT *, CAST(line_no AS BIGINT) * 100000 + word_no AS item_no, y + CASE (line_no + word_no) % 5 WHEN 1 THEN 0.5 WHEN 3 THEN -0.5 ELSE 0.0 END AS yy, regexp_replace(lower(font_family), '[^a-z0-9]', '', 'g') AS plain FROM words),
+-- no fragment spans a step of more than 2 between neighbouring heights
+gp AS (SELECT *, CASE WHEN lag(yy) OVER w - yy <= 2 THEN 0 ELSE 1 END AS far FROM yi WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY yy DESC, x, item_no)),
+il AS (SELECT *, sum(far) OVER (PARTITION BY doc_id, page_no ORDER BY yy DESC, x, item_no ROWS UNBOUNDED PRECEDING) AS island FROM gp),
+it AS (SELECT doc_id, page_no, island, list({'t': text, 'x': x, 'y': yy, 'w': width, 's': font_size, 'f': plain} ORDER BY yy DESC, x, item_no) AS items FROM il GROUP BY doc_id, page_no, island),
+fm AS (
+  SELECT doc_id, page_no, island, items, 1 AS k, 0 AS run, items[1].t AS t, items[1].x AS x, items[1].y AS y, items[1].w AS w, items[1].s AS s, items[1].f AS f, 1 AS n FROM it
+  UNION ALL
+  SELECT doc_id, page_no, island, items, k + 1, CASE WHEN joins THEN run ELSE run + 1 END,
+    CASE WHEN joins THEN t || CASE WHEN t <> '' AND i.t <> '' AND NOT regexp_matches(t, '\\s$') AND NOT regexp_matches(i.t, '^\\s') AND NOT regexp_matches(i.t, '^[,.;:!?)\\]}]') AND NOT regexp_matches(t, '[(\\[{]$') AND gap > 0.15 * i.s THEN ' ' ELSE '' END || i.t ELSE i.t END,
+    CASE WHEN joins THEN x ELSE i.x END, CASE WHEN joins THEN y ELSE i.y END, CASE WHEN joins THEN greatest(w, i.x + i.w - x) ELSE i.w END, CASE WHEN joins THEN s ELSE i.s END, CASE WHEN joins THEN f ELSE i.f END, CASE WHEN joins THEN n + 1 ELSE 1 END
+  FROM (
+    SELECT *, i.x - (x + w) AS gap, abs(y - i.y) <= 2 AND f = i.f AND abs(s - i.s) <= 1 AND i.x - (x + w) >= -i.s AND i.x - (x + w) <= 0.5 * i.s AS joins
+    FROM (SELECT *, items[k + 1] AS i FROM fm WHERE k < len(items)))),
+fr AS (SELECT doc_id, page_no, island, run, arg_max(t, k) AS t, any_value(x) AS x, any_value(y) AS y, arg_max(w, k) AS w, CAST(max(n) AS INTEGER) AS n FROM fm GROUP BY doc_id, page_no, island, run)
+SELECT doc_id, page_no, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY island, run) - 1 AS INTEGER) AS item, md5(t) AS text_md5, x, y, w AS width, n FROM fr
+""",
     "anchored_lines": _recursive(WORDS_SQL)
     + _STREWN.format(height="CAST(floor(y + 0.5) AS BIGINT)", order="min(item_no)")
     + """,
