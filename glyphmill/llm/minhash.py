@@ -257,7 +257,7 @@ def _links(classes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
         open_ = scratch.written(own.join(split, "token").join(classes.select("node", "sig"), "node"), "open")
     if open_.isEmpty():
         return links
-    return _stars(scratch.written(_merge_lists(open_, docs, sent).unionByName(links), "links"))
+    return _stars(_merge_lists(open_, docs, sent).unionByName(links))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
