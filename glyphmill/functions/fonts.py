@@ -105,10 +105,14 @@ def web_fonts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(web_font_rows(), "pos int, family string, category string, weight_pos int, weight int")
 
 
+def alias_rows(more: dict[str, str] | None = None) -> list[tuple[int, str, str]]:
+    """(pos, id, name) of every name of each record."""
+    return [(pos, ident, n) for pos, ident, family, *_ in catalogue_rows() for n in [*((more or {}) | {}).get(ident, _ALIASES.get(ident, "")).split(","), family, ident.replace("_", " ")]]
+
+
 def aliases(spark: SparkSession, more: dict[str, str] | None = None) -> DataFrame:
     """(alias, id): normalised names of each record, the first record of a name."""
-    names = [(pos, ident, n) for pos, ident, family, *_ in catalogue_rows() for n in [*((more or {}) | {}).get(ident, _ALIASES.get(ident, "")).split(","), family, ident.replace("_", " ")]]
-    rows = spark.createDataFrame(names, "pos int, id string, name string").select("pos", "id", normalized_family(F.trim("name")).alias("alias"))
+    rows = spark.createDataFrame(alias_rows(more), "pos int, id string, name string").select("pos", "id", normalized_family(F.trim("name")).alias("alias"))
     return rows.where("alias <> ''").groupBy("alias").agg(F.min_by("id", "pos").alias("id"))
 
 

@@ -91,6 +91,7 @@ WITH f AS (
     CASE WHEN p_partkey % 16 = 2 THEN 600.0 WHEN p_partkey % 16 = 12 THEN 602.0 ELSE 900.0 + p_partkey % 200 END AS max_width FROM part)
 """
 _RECORDS = "VALUES " + ", ".join(f"({r[0]}, '{r[1]}', '{r[2]}', '{r[3]}', {r[4]}, {r[5]}, {r[6]}, {r[7]}, {r[8]}, {r[9]})" for r in N.catalogue_rows())
+_ALIAS_NAMES = "VALUES " + ", ".join("({}, '{}', '{}')".format(*(str(x).replace("'", "''") for x in r)) for r in N.alias_rows())
 _WEB = "VALUES " + ", ".join(f"({a}, '{b}', '{c}', {d}, {e})" for a, b, c, d, e in N.web_font_rows())
 
 
@@ -153,6 +154,19 @@ FROM s
 WITH w AS (SELECT DISTINCT column1 AS family FROM ({_WEB}) t(column0, column1, column2, column3, column4)),
 n AS (SELECT DISTINCT p_type AS name FROM part)
 SELECT name, family, round({_by_edits("lower(name)", "lower(family)")}, 9) AS by_edits, round({_by_words("lower(name)", "lower(family || ' ' || string_split(name, ' ')[1])")}, 9) AS by_words FROM n, w
+""",
+    "font_aliases": _FONTS
+    + f""",
+nm AS (SELECT * FROM ({_ALIAS_NAMES}) t(pos, id, name)),
+al AS (SELECT alias, arg_min(id, pos) AS id FROM (SELECT pos, id, {_clean("trim(name)")} AS alias FROM nm) WHERE alias <> '' GROUP BY alias),
+k AS (SELECT name, {_clean("name")} AS key FROM f),
+r AS (
+  SELECT name AS font_family, CASE WHEN al.id IS NOT NULL THEN al.id WHEN regexp_matches(key, 'mono|courier') THEN 'default_mono' WHEN regexp_matches(key, 'serif|times|roman') THEN 'default_serif' ELSE 'default_sans' END AS record_id,
+    CASE WHEN al.id IS NOT NULL THEN 'alias' ELSE 'fallback' END AS reason FROM k LEFT JOIN al ON key = alias),
+c AS (SELECT * FROM ({_RECORDS}) t(pos, id, family, category, ascent, descent, cap_height, x_height, average_width, max_width))
+SELECT font_family, record_id, reason, CASE WHEN contains(family, ' ') THEN '''' || family || '''' ELSE family END
+  || CASE category WHEN 'serif' THEN ', ''Times New Roman'', Times, serif' WHEN 'monospace' THEN ', ''Courier New'', Courier, monospace' ELSE ', Arial, Helvetica, sans-serif' END AS stack, count(*) AS n
+FROM r JOIN c ON record_id = c.id GROUP BY 1, 2, 3, 4
 """,
     "font_resolve": _FONTS
     + f""",
