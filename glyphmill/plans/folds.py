@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.words import frequent_words, word_set
@@ -130,8 +130,9 @@ def ctm_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.when(n % 4 == 0, "eo_fill").when(n % 4 == 1, "stroke").when(n % 4 == 2, "fill_stroke").otherwise("end_path").alias("fn"), F.array().cast("array<double>").alias("args")),
         F.struct(F.when(n % 2 == 0, "restore").otherwise("close").alias("fn"), F.array().cast("array<double>").alias("args")),
     )
-    rows = items.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_no"), "l_partkey", "l_suppkey", n.alias("n"), F.posexplode(ops).alias("i", "op"))
-    rows = rows.select("doc_id", "page_no", (F.col("l_partkey").cast("long") * 10_000_000 + F.col("l_suppkey") * 1000 + F.col("n") * 10 + F.col("i")).alias("op_no"), "op.fn", "op.args")
+    order = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    rows = items.withColumn("k", F.row_number().over(order).cast("long")).select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_no"), "k", F.posexplode(ops).alias("i", "op"))
+    rows = rows.select("doc_id", "page_no", (F.col("k") * 10 + F.col("i")).alias("op_no"), "op.fn", "op.args")
     return O.per_page(rows, O.drawn_paths(500.0), "path_no int, path string, stroke string, fill string, fill_rule string, line_width double")
 
 
@@ -204,6 +205,25 @@ p AS (
     WHEN gap >= size / 3 AND NOT spaced AND NOT regexp_matches(ch, '^[,.;:!?)\\]}]') THEN ' ' || ch ELSE ch END AS piece FROM n)
 SELECT doc_id, page_no, CAST(run AS INTEGER) AS run, md5(rtrim(string_agg(piece, '' ORDER BY line_no, word_no, i))) AS text_md5, min(l) AS x, round(max(r) - min(l), 6) AS width, CAST(count(*) AS INTEGER) AS n
 FROM p GROUP BY doc_id, page_no, run
+""",
+    # each line item saves the state; one of an even number restores it, one of an odd number keeps its shift and leaves a closing mark
+    "ctm_paths": """
+WITH i AS (
+  SELECT l_orderkey AS doc_id, l_linenumber AS n, CAST(l_quantity AS DOUBLE) AS q, row_number() OVER o AS k, lag(l_linenumber % 2) OVER o AS odd,
+    coalesce(sum(CASE WHEN l_linenumber % 2 = 1 THEN 10.0 END) OVER b, 0.0) + 10.0 AS e, coalesce(sum(CASE WHEN l_linenumber % 2 = 1 THEN CAST(l_quantity AS DOUBLE) END) OVER b, 0.0) + CAST(l_quantity AS DOUBLE) AS f
+  FROM lineitem WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice), b AS (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+p AS (
+  SELECT *, CASE n % 3 WHEN 0 THEN [('M', 5.0, 5.0), ('L', 105.0, 5.0), ('L', 105.0, 55.0), ('L', 5.0, 55.0), ('Z', NULL, NULL)] WHEN 1 THEN [('M', q, 3.0)] ELSE [('C', 1.0, 2.0), (',', 3.0, 4.0), (',', q, 6.0)] END
+    || [('L', q + 1.0, 7.25)] AS steps FROM i),
+u AS (SELECT doc_id, k, unnest(steps) AS s, unnest(range(len(steps))) AS j, e, f FROM p),
+v AS (SELECT doc_id, k, j, s[1] AS fn, floor((s[2] + e) * 1000 + 0.5) / 1000 AS x, floor((500.0 - (s[3] + f)) * 1000 + 0.5) / 1000 AS y FROM u),
+t AS (
+  SELECT doc_id, k, string_agg(CASE fn WHEN ',' THEN ', ' WHEN 'Z' THEN ' Z' ELSE ' ' || fn || ' ' END || CASE WHEN fn = 'Z' THEN '' ELSE
+    CASE WHEN x = floor(x) THEN CAST(CAST(x AS BIGINT) AS VARCHAR) ELSE CAST(x AS VARCHAR) END || ' ' || CASE WHEN y = floor(y) THEN CAST(CAST(y AS BIGINT) AS VARCHAR) ELSE CAST(y AS VARCHAR) END END, '' ORDER BY j) AS path FROM v GROUP BY doc_id, k)
+SELECT p.doc_id, 0 AS page_no, CAST(row_number() OVER (PARTITION BY p.doc_id ORDER BY p.k) - 1 AS INTEGER) AS path_no, CASE WHEN odd = 1 THEN 'Z' || path ELSE substr(path, 2) END AS path,
+  CASE WHEN n % 4 IN (1, 2) THEN '#000000' END AS stroke, CASE WHEN n % 4 IN (0, 2) THEN printf('#%02x14ff', CAST(least(255, floor(q * 5 + 0.5)) AS INTEGER)) END AS fill, CASE WHEN n % 4 = 0 THEN 'evenodd' ELSE 'nonzero' END AS fill_rule,
+  CASE WHEN n % 4 IN (1, 2) THEN 1.0::DOUBLE END AS line_width
+FROM p JOIN t ON p.doc_id = t.doc_id AND p.k = t.k WHERE n % 4 <> 3
 """,
     "fragment_merge": _recursive(WORDS_SQL)
     + """,
