@@ -60,6 +60,54 @@ def per_page(rows: DataFrame, fold: Callable[[list[dict]], list[dict]], schema:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(each, schema)
 
 
+def per_page_columns(rows: DataFrame, fold: Callable[[pa.Table], dict[str, list]], schema: str, order: str, keys: list[str] | None = None) -> DataFrame:
+    """``fold`` over the columns of each page, sorted by ``order``; it returns columns of results, which get the keys in front.
+
+    As ``per_page``, but no row becomes a Python object on the way in.
+    """
+    keys = keys or PAGE
+    types = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    schema = f"{types}, {schema}"
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # parts of the page that is not over yet
+
+        def flush() -> pa.RecordBatch:
+            page = pa.Table.from_batches(held)
+            out = fold(page)
+            n = len(out[arrow.names[-1]])
+            own = [pa.array([page.column(k)[0].as_py()] * n, arrow.field(k).type) for k in keys]
+            return pa.RecordBatch.from_arrays(own + [pa.array(out[c], arrow.field(c).type) for c in arrow.names[len(keys) :]], schema=arrow)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = [batch.column(batch.schema.get_field_index(k)) for k in keys]
+            changed = np.zeros(batch.num_rows, bool)
+            for c in ids:
+                codes = c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                changed[1:] |= codes[1:] != codes[:-1]
+            if held:
+                last = [held[-1].column(held[-1].schema.get_field_index(k))[-1].as_py() for k in keys]
+                changed[0] = last != [c[0].as_py() for c in ids]
+            edges = [0, *np.flatnonzero(changed).tolist(), batch.num_rows]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b and a == 0:
+                    if held:
+                        yield flush()
+                        held.clear()
+                    continue
+                if a and held:
+                    yield flush()
+                    held.clear()
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield flush()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(each, schema)
+
+
 def by_line(fold: Callable[[list[dict]], list[dict]]) -> Callable[[list[dict]], list[dict]]:
     """A fold of lines as a fold of pages."""
 
@@ -371,6 +419,40 @@ def glyph_runs(glyphs: list[dict]) -> list[dict]:
     return [{"run": i, "text": r["text"].rstrip(), "x": r["x"], "width": r["right"] - r["x"], "n": r["n"]} for i, r in enumerate(out)]
 
 
+def glyph_run_columns(page: pa.Table) -> dict[str, list]:
+    """``glyph_runs`` over the columns of a page sorted by glyph_no, for pages where the glyph before tells the state of a run.
+
+    That holds if heights change by nothing or by more than a run allows, rights never go back within a run, no run would
+    begin with white space and no white space is squeezed; any other page goes through the loop.
+    """
+    get = lambda c: page.column(c).to_numpy()
+    left, right, bottom, size = (get(c).astype(float) for c in ("left", "right", "bottom", "font_size"))
+    chars = page.column("ch").to_pylist()
+    names = page.column("font_name").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    em, blank = np.maximum(1.0, size), np.array([c.isspace() for c in chars])
+    before = lambda v: v[:-1]
+    step = np.abs(bottom[1:] - before(bottom))
+    gap = left[1:] - before(right)
+    same = (names[1:] == before(names)) & (np.round(size[1:], 3) == np.round(before(size), 3)) & (step <= 0.35 * em[1:])
+    joins = same & (gap >= -em[1:]) & (gap <= 1.6 * em[1:])
+    starts = np.concatenate(([True], ~joins))
+    narrow = blank & (right - left < 0.08 * em)
+    if (step[same] > 0).any() or (right[1:] < before(right))[joins].any() or blank[starts].any() or narrow.any():
+        return _columns(glyph_runs(page.to_pylist()), ("run", "text", "x", "width", "n"))
+    spaced = np.concatenate(([False], before(blank)))
+    sticks = np.array([c in ",.;:!?)]}" for c in chars])
+    wide = ~starts & ~blank & ~spaced & ~sticks & (np.concatenate(([0.0], gap)) >= em / 3)
+    pieces = ["" if b and s else " " if b else " " + c if w else c for c, b, s, w in zip(chars, blank.tolist(), spaced.tolist(), wide.tolist(), strict=True)]
+    first = np.flatnonzero(starts)
+    end = np.append(first[1:], len(left))
+    texts = ["".join(pieces[a:b]).rstrip() for a, b in zip(first.tolist(), end.tolist(), strict=True)]
+    return {"run": list(range(len(first))), "text": texts, "x": left[first].tolist(), "width": (right[end - 1] - left[first]).tolist(), "n": (end - first).tolist()}
+
+
+def _columns(rows: list[dict], names: tuple[str, ...]) -> dict[str, list]:
+    return {c: [r[c] for r in rows] for c in names}
+
+
 def _times(a: tuple, b: tuple) -> tuple:
     return (
         a[0] * b[0] + a[2] * b[1], a[1] * b[0] + a[3] * b[1], a[0] * b[2] + a[2] * b[3], a[1] * b[2] + a[3] * b[3], a[0] * b[4] + a[2] * b[5] + a[4], a[1] * b[4] + a[3] * b[5] + a[5],

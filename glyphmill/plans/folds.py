@@ -112,7 +112,7 @@ def glyph_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     glyphs = chars.select(
         *L.PAGE, ((F.col("line_no").cast("long") * 100_000 + F.col("word_no")) * 100_000 + F.col("i")).alias("glyph_no"), "ch", left.alias("left"), (left + F.when(F.col("ch") == " ", 2.0).otherwise(5.5)).alias("right"), F.col("y").alias("bottom"), (F.col("y") + F.col("height")).alias("top"), F.col("font_family").alias("font_name"), "font_size"
     )
-    found = O.per_page(glyphs, O.glyph_runs, "run int, text string, x double, width double, n int")
+    found = O.per_page_columns(glyphs, O.glyph_run_columns, "run int, text string, x double, width double, n int", "glyph_no")
     return found.select(*L.PAGE, "run", F.md5("text").alias("text_md5"), "x", F.round("width", 6).alias("width"), "n")
 
 

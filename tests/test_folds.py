@@ -118,3 +118,40 @@ def test_suggested_cuts():
     words = frozenset({"connecting", "finance", "con", "fin"})
     assert O.suggested_cuts("connectingfinance", words) == [(10, 0.9)]
     assert O.suggested_cuts("confinx", words) == [(3, 0.7), (6, 0.7)]
+
+
+def test_glyph_runs_by_columns_equal_the_loop():
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    whole = 0
+    for case in range(400):
+        rows, x, y = [], 0.0, 700.0
+        for i in range(rng.randint(1, 60)):
+            odd = case % 2 and rng.random() < 0.1
+            if rng.random() < 0.08:
+                x, y = 0.0, y - 12
+            ch = rng.choice("ab,)  ") if i else "a"
+            x += rng.choice([0, 0, 0, 0.5, 3, 4, 14, 17]) - (rng.choice([0.5, 20]) if odd else 0)
+            wide = 0.2 if odd else 2.0 if ch == " " else 5.5
+            rows.append({"glyph_no": i, "ch": ch, "left": x, "right": x + wide, "bottom": y + (1.0 if odd else 0.0), "top": y + 10, "font_name": rng.choice(["A"] * 9 + ["B", None]) if odd else "A", "font_size": 10.0 if rng.random() < 0.97 else 12.0})
+            x += wide
+        want = O.glyph_runs(rows)
+        got = O.glyph_run_columns(pa.Table.from_pylist(rows))
+        assert [dict(zip(got, v, strict=True)) for v in zip(*got.values(), strict=True)] == want
+        whole += len(want) > 1
+    assert whole > 300
+
+
+def test_pages_by_columns_over_many_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(d, p, i) for d in (1, 2, None) for p in (0, 1, 2) for i in range(d or 10) for _ in range(2)]
+        df = spark.createDataFrame([(*r, j) for j, r in enumerate(rows)], "doc_id long, page_no int, i int, seq long")
+        got = O.per_page_columns(df, lambda t: {"n": [t.num_rows], "first": [t.column("seq")[0].as_py()]}, "first long, n int", "seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(d, p): [j for j, r in enumerate(rows) if r[:2] == (d, p)] for d, p, _ in rows}
+    assert {(r.doc_id, r.page_no): (r.first, r.n) for r in got} == {k: (v[0], len(v)) for k, v in want.items()} and len(got) == len(want)
