@@ -31,7 +31,7 @@ def test_each_stage_takes_effect(spark, tmp_path):
 
     one = p.drop_near_duplicates(spark, kept, d)
     want = {i for i, _, _, k in minhash.brute_force([(i, texts[i]) for i in ids]) if k}
-    assert {r.doc_id for r in one.collect()} == want and not any(1000 <= i < 1040 for i in want)
+    assert {r.doc_id for r in one.collect()} == want and not any(1000 <= i < 1040 and i - 1000 in ids for i in want)
 
     clean = p.drop_contaminated(spark, one, d)
     left = {i for i, _, hit, *_ in decontaminate.brute_force([(i, texts[i]) for i in want], [(1, item)]) if not hit}
