@@ -10,7 +10,7 @@ from .text import escape_html
 
 def number(c: Column) -> Column:
     """A number with three decimals at most and no empty ones."""
-    return F.regexp_replace(F.round(c, 3).cast("decimal(20,3)").cast("string"), r"\.?0+$", "")
+    return F.rtrim(F.rtrim(F.round(c, 3).cast("decimal(20,3)").cast("string"), F.lit("0")), F.lit("."))
 
 
 def px(c: Column) -> Column:

@@ -60,7 +60,7 @@ def per_page(rows: DataFrame, fold: Callable[[list[dict]], list[dict]], schema:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(each, schema)
 
 
-def per_page_columns(rows: DataFrame, fold: Callable[[pa.Table], dict[str, list]], schema: str, order: str, keys: list[str] | None = None) -> DataFrame:
+def per_page_columns(rows: DataFrame, fold: Callable[[pa.Table], dict[str, list]], schema: str, order: str | list[str], keys: list[str] | None = None) -> DataFrame:
     """``fold`` over the columns of each page, sorted by ``order``; it returns columns of results, which get the keys in front.
 
     As ``per_page``, but no row becomes a Python object on the way in.
@@ -105,7 +105,8 @@ def per_page_columns(rows: DataFrame, fold: Callable[[pa.Table], dict[str, list]
         if held:
             yield flush()
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(each, schema)
+    within = [order] if isinstance(order, str) else order
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *within).mapInArrow(each, schema)
 
 
 def by_line(fold: Callable[[list[dict]], list[dict]]) -> Callable[[list[dict]], list[dict]]:

@@ -66,11 +66,12 @@ def flex_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = PAGE_HEIGHT - (F.col("y") + F.col("height")) + F.when(n % 6 == 1, 3.0).otherwise(0.0)
     style = F.concat(F.lit("position: absolute; left: "), M.px(F.col("x")), F.lit("; top: "), M.px(top), F.when(n % 3 == 0, F.concat(F.lit("; width: "), M.px(F.col("width")))).otherwise(""))
     text = M.element("span", X.escape_html(F.col("text")), {"class": F.when(n % 13 == 0, "gap").otherwise("t"), "data-font-family": F.when(n % 7 != 0, F.col("font_family")), "data-font-size": F.when(n % 5 != 0, M.number(F.col("font_size"))), "style": style})
-    inner = F.when(F.col("line_no") % 2 == 1, F.concat(F.lit('<div class="region" style="position: absolute; left: 10px; top: 4.5px"><b>'), text, F.lit("</b></div>"))).otherwise(text)
-    rows = words.select(*L.PAGE, "line_no", "word_no", inner.alias("said"))
-    pages = rows.groupBy(*L.PAGE).agg(F.concat(F.lit('<div class="page"><br>'), R.joined(F.col("said"), ["line_no", "word_no"], " "), F.lit("</div>")).alias("html"))
-    found = A.flex_pages(A.elements(pages))
-    absolute, elements = F.regexp_count("html", F.lit("position: absolute|left:|top:")), F.regexp_count("html", F.lit("<span"))
+    shifted = lambda said: F.when(F.col("line_no") % 2 == 1, said).otherwise("")
+    inner = F.concat(shifted('<div class="region" style="position: absolute; left: 10px; top: 4.5px"><b>'), text, shifted("</b></div>"))
+    pieces = words.select(*L.PAGE, "line_no", "word_no", inner.alias("html"))
+    found = A.adapted(pieces, ["line_no", "word_no"], " ", '<div class="page"><br>', "</div>")
+    times = lambda part: F.floor((F.octet_length("html") - F.octet_length(F.replace("html", F.lit(part), F.lit("")))) / len(part))
+    absolute, elements = times("position: absolute") + times("left:") + times("top:"), times("<span")
     return found.select(*L.PAGE, "n_rows", "n_spacers", F.round("widths", 6).alias("widths"), F.round("heights", 6).alias("heights"), elements.cast("long").alias("n_elements"), absolute.cast("long").alias("n_absolute"))
 
 

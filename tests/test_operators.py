@@ -163,6 +163,23 @@ def test_html_with_nested_and_unplaced_elements_becomes_rows(spark):
     assert "absolute" not in page[0].html and page[0].html.count("ab &amp; c") == 1 and '<div class="gap" style="width: 42px; flex-shrink: 0"></div>' in page[0].html
 
 
+def test_pages_are_adapted_in_one_pass(spark):
+    from glyphmill.operators import adapter as A
+    from glyphmill.plans.render import flex_adapter
+
+    word = '<b style="left: {}px; top: {}px"><i data-font-family="F" style="position: absolute; left: 7px; left: 9px">w</i></b></p>'
+    html = "".join(word.format(i % 60 * 9, i // 60 * 12) for i in range(3000))
+    rows = [(1, 0, 2, html[90_000:]), (1, 0, 1, html[:90_000]), (1, 1, 1, "<p>none</p>"), (2, 0, 1, None)]
+    pieces = spark.createDataFrame(rows, "doc_id long, page_no int, n int, html string")
+    pages = spark.createDataFrame([(1, 0, html), (1, 1, "<p>none</p>"), (2, 0, None)], "doc_id long, page_no int, html string")
+    found = A.adapted(pieces, ["n"]).collect()
+    assert found == A.flex_pages(A.elements(pages)).collect()
+    assert [(r.n_rows, r.n_spacers, round(r.widths, 6)) for r in found] == [(50, 50 * 60, round(50 * (7 + 59 * (9 - 6.6)), 6))]
+    # the query deals and sorts words once, as the typesetter does, and no aggregate holds pages
+    plan = flex_adapter(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert [plan.count(x) for x in ("Exchange", "Window ", "Aggregate")] == [1, 1, 0]
+
+
 def test_respacing_examples(spark):
     from glyphmill.functions import text as X
 
