@@ -289,32 +289,80 @@ def _centre(r: dict) -> tuple[float, float]:
     return r["x"] + r["width"] / 2, r["y"] + r["height"] / 2
 
 
-def grown_clusters(items: list[dict], radius: float = 15.0) -> list[dict]:
-    """Clusters of one style: seeds in item order take the free items of their style near the cluster's centre, and again while there are any; two members at least."""
-    rows = sorted(items, key=lambda r: r["item_no"])
-    if not rows:
-        return []
-    at = np.array([_centre(r) for r in rows])
-    reach = np.array([radius + max(r["width"], r["height"]) / 2 for r in rows])
-    styles: dict[tuple, int] = {}
-    style = np.array([styles.setdefault((r["font_family"], r["font_weight"], r["font_style"]), len(styles)) for r in rows])
-    free, out, cluster = np.ones(len(rows), bool), [], 0
-    for seed in range(len(rows)):
+#: Cells around a cell of a grid; numbers of cells end at ``FAR`` either way.
+FAR = 1 << 30
+_AROUND = [dx * 4 * FAR + dy for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+
+
+def _grown(x: np.ndarray, y: np.ndarray, reach: np.ndarray, style: np.ndarray) -> list[list[int]]:
+    """The clusters of ``grown_clusters`` over items in order, as places in it.
+
+    Free items stand in grids, one for each style and power of four of the reach, so that a search reads the cells around a
+    centre; what a search finds leaves its cell.
+    """
+    level = (np.frexp(np.maximum(reach, 1.0))[1] + 1) // 2
+    size = 4.0**level
+    with np.errstate(invalid="ignore"):
+        cell_x, cell_y = (np.nan_to_num(np.clip(np.floor(v / size), -FAR, FAR)).astype(np.int64) for v in (x, y))
+    keys = (cell_x * 4 * FAR + cell_y).tolist()
+    grids: dict[int, dict[float, dict[int, list[int]]]] = {}
+    xs, ys, reaches, styles = x.tolist(), y.tolist(), reach.tolist(), style.tolist()
+    for i, (c, z, k) in enumerate(zip(styles, size.tolist(), keys, strict=True)):
+        grids.setdefault(c, {}).setdefault(z, {}).setdefault(k, []).append(i)
+    free, clusters, hypot = [True] * len(xs), [], math.hypot
+    for seed, (cx, cy) in enumerate(zip(xs, ys, strict=True)):
         if not free[seed]:
             continue
         free[seed] = False
-        members = [seed]
-        while True:
-            centre = at[members].mean(0)
-            new = np.flatnonzero(free & (style == style[seed]) & (np.hypot(*(at - centre).T) <= reach))
-            if not len(new):
+        members, sum_x, sum_y = [seed], cx, cy
+        while math.isfinite(cx + cy):
+            new: list[int] = []
+            for z, cells in grids[styles[seed]].items():
+                at = int(min(max(cx // z, -FAR), FAR)) * 4 * FAR + int(min(max(cy // z, -FAR), FAR))
+                for k in _AROUND:
+                    if cell := cells.get(at + k):
+                        near = [i for i in cell if hypot(xs[i] - cx, ys[i] - cy) <= reaches[i]]
+                        if len(near) == len(cell):
+                            del cells[at + k]
+                        elif near:
+                            taken = set(near)
+                            cells[at + k] = [i for i in cell if i not in taken]
+                        new += near
+            new = sorted(i for i in new if free[i])
+            if not new:
                 break
-            free[new] = False
-            members += new.tolist()
+            for i in new:
+                free[i] = False
+                sum_x += xs[i]
+                sum_y += ys[i]
+            members += new
+            cx, cy = sum_x / len(members), sum_y / len(members)
         if len(members) >= 2:
-            out += [{"item_no": rows[i]["item_no"], "cluster": cluster} for i in members]
-            cluster += 1
-    return out
+            clusters.append(members)
+    return clusters
+
+
+def grown_cluster_columns(page: pa.Table, radius: float = 15.0) -> dict[str, list]:
+    """``grown_clusters`` over the columns of a page."""
+    get = lambda c: page.column(c).to_numpy()
+    item = get("item_no")
+    order = np.argsort(item, kind="stable")
+    x, y, width, height = (get(c).astype(float)[order] for c in ("x", "y", "width", "height"))
+    style = np.zeros(len(item), np.int64)
+    for c in ("font_family", "font_weight", "font_style"):
+        codes = page.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        style = np.unique(style * (len(item) + 1) + codes, return_inverse=True)[1]
+    clusters = _grown(x + width / 2, y + height / 2, radius + np.maximum(width, height) / 2, style[order])
+    members = np.array([i for c in clusters for i in c], np.int64)
+    return {"item_no": item[order][members].tolist(), "cluster": [k for k, c in enumerate(clusters) for _ in c]}
+
+
+def grown_clusters(items: list[dict], radius: float = 15.0) -> list[dict]:
+    """Clusters of one style: seeds in item order take the free items of their style near the cluster's centre, and again while there are any; two members at least."""
+    if not items:
+        return []
+    found = grown_cluster_columns(pa.Table.from_pylist(items), radius)
+    return [{"item_no": i, "cluster": c} for i, c in zip(found["item_no"], found["cluster"], strict=True)]
 
 
 def spatial_groups(items: list[dict]) -> list[dict]:

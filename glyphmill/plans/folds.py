@@ -54,7 +54,7 @@ def fragment_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def style_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _items(spark, sf_dir).select(*L.PAGE, "item_no", "x", "y", "width", "height", "font_family", "font_weight", "font_style")
-    found = O.per_page(rows, O.grown_clusters, "item_no long, cluster int")
+    found = O.per_page_columns(rows, O.grown_cluster_columns, "item_no long, cluster int", [])
     return found.groupBy(*L.PAGE, "cluster").agg(F.count("*").alias("n_items"), F.min("item_no").alias("first_item"))
 
 

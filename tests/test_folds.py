@@ -35,6 +35,38 @@ def test_clusters_have_one_style_and_two_members():
     assert all(len(v) >= 2 and len(set(v)) == 1 for v in seen.values())
 
 
+def test_clusters_against_plain_search():
+    rng = random.Random(6)
+    for k in range(60):
+        rows = [r | {"item_no": k % 2 or r["item_no"], "x": rng.choice([r["x"], -r["x"], r["x"] * 50]), "width": rng.choice([r["width"], 0.0, -3.0, 900.0]), "font_weight": rng.choice([400, 700]), "font_family": rng.choice(["A", None])} for r in items(rng, 50)]
+        rng.shuffle(rows)
+        order = sorted(range(50), key=lambda i: rows[i]["item_no"])
+        centre = lambda r: (r["x"] + r["width"] / 2, r["y"] + r["height"] / 2)
+        style = lambda r: (r["font_family"], r["font_weight"], r["font_style"])
+        want, free = [], list(order)
+        while free:
+            members = [free.pop(0)]
+            new = members
+            while new:
+                mid = [sum(v) / len(members) for v in zip(*(centre(rows[i]) for i in members), strict=True)]
+                new = [i for i in free if style(rows[i]) == style(rows[members[0]]) and math.dist(mid, centre(rows[i])) <= 15 + max(rows[i]["width"], rows[i]["height"]) / 2]
+                free, members = [i for i in free if i not in new], members + new
+            if len(members) > 1:
+                cluster = want[-1]["cluster"] + 1 if want else 0
+                want += [{"item_no": rows[i]["item_no"], "cluster": cluster} for i in members]
+        assert O.grown_clusters(rows) == want
+
+
+def test_clusters_of_a_long_line_cost_its_length():
+    import time
+
+    rows = [{"item_no": i, "x": i * 8.5, "y": 0.0, "width": 5.5, "height": 10.0, "font_family": "A", "font_weight": 700 if i % 11 == 5 else 400, "font_style": "normal"} for i in range(40_000)]
+    began = time.perf_counter()
+    found = O.grown_clusters(rows)
+    assert time.perf_counter() - began < 5  # all items against each seed's centre took 14 seconds
+    assert len({r["item_no"] for r in found}) == len(found) > 36_000
+
+
 def test_spatial_groups_against_plain_search():
     rng = random.Random(3)
     for _ in range(10):
