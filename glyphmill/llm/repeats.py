@@ -251,7 +251,9 @@ def _refined(contexts: DataFrame, owners: DataFrame, window: int, unit: str, acr
     parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     none = F.lit(None).cast("long")
     rows = contexts.select("a", "s1", "s2", "bytes", none.alias("low"), none.alias("high")).unionByName(owners.select("a", "s1", "s2", F.lit(None).cast("binary").alias("bytes"), "low", "high"))
-    return rows.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(released(each), _REFINED)
+    # by a hash of the bucket: Spark drops a deal by the bucket itself where both sides of the union were joined on it, and then
+    # merges small partitions of each side on its own, so that contents and their owners part
+    return rows.repartition(parts, F.xxhash64("a")).sortWithinPartitions("a").mapInArrow(released(each), _REFINED)
 
 
 def _counted(scratch: Scratch, contexts: DataFrame, owners: DataFrame, window: int, unit: str, across: bool) -> DataFrame:
@@ -312,11 +314,12 @@ def _repeated_segments(docs: DataFrame, some: DataFrame, window: int, bucket: in
     key = lambda b: _witness(numbers(b.column(0)), b.column(1).to_numpy())
     seen = spark.sparkContext.broadcast(bloom(open_.select("k", "start"), key, map_bits(open_.count())))
     contexts = scratch.written(_contexts(docs, seen, window, unit), "contexts")
-    hot = open_.where(F.col("contents") > bucket).select("a").distinct()
+    # written, so that Spark sees how small it is
+    hot = scratch.written(open_.where(F.col("contents") > bucket).select("a").distinct(), "hot")
     if hot.isEmpty():
         refined = _refined(contexts, open_, window, unit, across)
     else:
-        rest, large = ([x.join(hot, "a", how) for x in (contexts, open_)] for how in ("left_anti", "left_semi"))
+        rest, large = ((contexts.join(hot, "a", how), open_.where(some)) for how, some in (("left_anti", F.col("contents") <= bucket), ("left_semi", F.col("contents") > bucket)))
         refined = _refined(*rest, window, unit, across).unionByName(_counted(scratch, *large, window, unit, across))
     refined = contents.select("s1", "s2", "whole").join(scratch.written(refined, "refined"), ["s1", "s2"], "left").where("whole or spans is not null")
     whole = F.array(F.struct(F.lit(0).alias("since"), F.col("n").alias("until"))).cast(_SPANS)

@@ -37,6 +37,20 @@ def test_large_buckets_give_the_same(spark):
     assert run(spark, rows, window=20, passage=3, bucket=2) == sorted(r.brute_force(rows, 20, 3), key=str)
 
 
+def test_large_buckets_with_joins_by_shuffle(spark):
+    rows = corpus(random.Random(4), 20)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = run(spark, rows, window=20, passage=3, bucket=12)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == sorted(r.brute_force(rows, 20, 3), key=str)
+
+
 def test_long_text_in_pieces(spark):
     rng = random.Random(5)
     block = "".join(rng.choice("abcdefgh") for _ in range(3000))
